@@ -97,7 +97,7 @@ def split_packed(column: pa.Array, packing: Packing) -> pa.ListArray:
         keyish = _mask(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")[data]
         after = _next_at(~keyish)
         capital = _mask(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")[data]
-        starts_key = np.append(capital & (padded[after[:-1]] == ord("=")), False)
+        starts_key = np.append(capital & (padded[after[:-1]] == ord("=")) & (after[:-1] < end[row]), False)
         follows = _next_at(solid)[1:]
         delimiter |= (data == ord(",")) & starts_key[follows] & (follows < end[row])
     piece = content & ~(delimiter & ~protected)
