@@ -38,7 +38,7 @@ SHARD_PIECES, STEP_CONTAINERS = 20_000, 8
 #: Tiers below the longest; the last takes all that is shorter.
 TIERS = 6
 # Fixed value: the pattern by which this vocabulary's texts are cut before merging.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Runs that the tokenizer takes as one word are cut here, since its time grows with their square.
 _SLICE = 100_000
 

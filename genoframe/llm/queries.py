@@ -10,6 +10,7 @@ from genoframe.llm.format_duplicates import bare, count_copies, pairs_as_set, ru
 from genoframe.llm.leaks import leaked_items
 from genoframe.llm.packing import pack_texts, token_counts
 from genoframe.llm.percentiles import merge_summaries, percentiles, summarise
+from genoframe.llm.truncation import truncated_texts
 from genoframe.tables import read_table
 
 #: Percentiles and metrics of problem 5.
@@ -87,6 +88,22 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_distinct("source").alias("n_sources"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text ends before their file did."""
+    return truncated_texts(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents with text, cut ones, and their share."""
+    docs = read_table(spark, sf_dir, "documents").filter("text is not null")
+    cut = truncated_texts(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_cut"))
+    every = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    n_cut = F.coalesce("n_cut", F.lit(0))
+    return every.join(cut.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        "source", "n_docs", n_cut.alias("n_cut"), (n_cut / F.col("n_docs")).alias("cut_share")
+    )
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_records": p4_records,
@@ -97,6 +114,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p8_near": p8_near,
+    "p9_found": p9_found,
+    "p9_sources": p9_sources,
 }
 
 _P4 = r"""
