@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a window, the edits that are looked for, and the LSH's settings.
-WIDTH, EDITS, REPS, SAMPLES = 13, 2, 6, 5
+WIDTH, EDITS, REPS, SAMPLES = 13, 2, 14, 8
 #: Characters of passages in one block of items.
 BLOCK_CHARS = 16_000_000
 #: Bytes of text hashed, and windows walked, at a time.
@@ -101,17 +101,30 @@ def walked_keys(words: np.ndarray, starts: np.ndarray, width: int, rep: int, sam
     return key
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distance in words of each pair of rows of two (pairs, width) arrays."""
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Edit distance in words of each pair of rows of two (pairs, width) arrays, exact up to
+    ``most`` (a larger one comes out as more than ``most``). Only the
+    diagonals that ``most`` edits can reach are filled."""
     n, width = a.shape
-    before = np.broadcast_to(np.arange(width + 1, dtype=np.int8), (n, width + 1)).copy()
-    for i in range(width):
-        now = np.empty_like(before)
-        now[:, 0] = i + 1
-        for j in range(width):
-            now[:, j + 1] = np.minimum(np.minimum(now[:, j], before[:, j + 1]) + 1, before[:, j] + (a[:, i] != b[:, j]))
+    far = np.int8(most + 1)
+    before = np.full((width + 1, n), far, dtype=np.int8)
+    for j in range(min(most, width) + 1):
+        before[j] = j
+    for i in range(1, width + 1):
+        now = np.full_like(before, far)
+        low, high = max(0, i - most), min(width, i + most)
+        for j in range(low, high + 1):
+            if j == 0:
+                now[0] = i
+                continue
+            cost = before[j - 1] + (a[:, i - 1] != b[:, j - 1])
+            if j > i - most:
+                cost = np.minimum(cost, now[j - 1] + np.int8(1))
+            if j < i + most:
+                cost = np.minimum(cost, before[j] + np.int8(1))
+            now[j] = np.minimum(cost, far)
         before = now
-    return before[:, -1]
+    return before[width].astype(np.int64)
 
 
 @dataclass
@@ -169,7 +182,7 @@ def near_windows(texts: pa.Array, index: ItemIndex, width: int, edits: int, samp
         for p in range(0, len(pair), _WINDOWS):
             mine, theirs = np.divmod(pair[p : p + _WINDOWS], len(index.starts))
             span = np.arange(width)
-            far = edit_distances(words[block[mine][:, None] + span], index.words[index.starts[theirs][:, None] + span])
+            far = edit_distances(words[block[mine][:, None] + span], index.words[index.starts[theirs][:, None] + span], edits)
             near = far <= edits
             mine, theirs = mine[near], theirs[near]
             found.append((owner[block[mine]], index.owner[index.starts[theirs]], block[mine], far[near]))
