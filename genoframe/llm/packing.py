@@ -39,8 +39,6 @@ SHARD_PIECES, STEP_CONTAINERS = 20_000, 8
 TIERS = 6
 # Fixed value: the pattern by which this vocabulary's texts are cut before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs that the tokenizer takes as one word are cut here, since its time grows with their square.
-_SLICE = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +56,7 @@ def token_counts(texts: DataFrame, key: str, text: str, tokenizer_file: str = TO
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(tokenizer_file)
         for batch in batches:
-            sizes = [sum(len(encoder.encode_ordinary(t[i : i + _SLICE])) for i in range(0, len(t), _SLICE)) if t else 0 for t in batch[text].where(batch[text].notna(), "")]
+            sizes = [len(encoder.encode_ordinary(t)) for t in batch[text].where(batch[text].notna(), "")]
             yield pd.DataFrame({key: batch[key].astype("Int64"), "n_tokens": pd.Series(sizes, dtype="int64")})
 
     return texts.select(F.col(key).cast("bigint").alias(key), text).mapInPandas(count, f"{key} bigint, n_tokens bigint")
