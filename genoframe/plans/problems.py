@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genoframe.functions.names import contig_key, missing_as_null
@@ -75,13 +76,10 @@ def p6_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contigs to which at least one twentieth of a table's rows belong."""
-    summary = _contig_summary(spark, sf_dir)
-    totals = summary.groupBy("source_table").agg(F.sum("rows").alias("total"))
-    return (
-        summary.join(F.broadcast(totals), "source_table")  # two rows
-        .filter("contig_name is not null and rows * 20 >= total")
-        .select("source_table", "contig_name")
-    )
+    # A table has a row per contig by now, so its sum is over some hundred rows.
+    total = F.sum("rows").over(W.partitionBy("source_table"))
+    summary = _contig_summary(spark, sf_dir).withColumn("total", total)
+    return summary.filter("contig_name is not null and rows * 20 >= total").select("source_table", "contig_name")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_variants": p2_variants, "p3_found": p3_found, "p6_found": p6_found, "p6_contigs": p6_contigs}
