@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.operators.joins import join_checked
+from genoframe.tables import ensure_checkpoint_dir
 
 _GRID = [64]
 while _GRID[-1] < 2**31:
@@ -47,19 +48,35 @@ _LEXERS = {
 }
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 
-#: Marks of a language: pattern and weight, counted over the text without fenced blocks.
+#: Marks of a language: words of which a text must hold one, pattern and weight.
 _MARKS = {
-    "python": [(r"^\s*(?:async )?def \w+\(", 3), (r"^\s*(?:import|from) [\w.]+", 2), (r"^\s*(?:class \w+.*:|elif |if .*:$|for .* in .*:$|assert |raise |return [^;{]*$)", 2), (r"^[A-Z_]\w* = [(\[{]", 5)],
-    "java": [(r"^\s*(?:public|private|protected)\b", 3), (r"^package [\w.]+;", 3), (r"^import [\w.]+;", 2)],
-    "javascript": [(r"\b(?:const|let|var) \w+ ?=(?!=)", 3), (r"\bfunction\b ?\w*\(", 3), (r"=>", 2), (r"^\s*(?:export|describe\(|it\()", 2), (r"\bthis\.", 1), (r"^class \w+ \{", 3)],
-    "go": [(r"^package \w+$", 4), (r"^func ", 4), (r"^type \w+ struct", 3), (r":=", 2), (r"^var \w+ = ", 3)],
-    "c": [(r"^#(?:define|include|ifdef|ifndef|endif)", 4), (r"^(?:static|struct|typedef|unsigned|int|void|char)\b", 3), (r"->", 2)],
-    "sql": [(r"^(?:CREATE|INSERT|SELECT|ALTER|UPDATE|DELETE|DROP|WITH)\b", 4)],
-    "css": [(r"^[.#@][\w-]+[^\n]*\{", 4), (r"^\s+[\w-]+: [^\n]*;$", 2)],
-    "yaml": [(r"^\s*[\w-]+:(?: |$)", 2), (r"^\s*- ", 1)],
-    "markdown": [(r"^#{1,6} ", 3), (r"^```", 2), (r"^[*-] ", 1)],
+    "python": [
+        ("def ", r"^[ \t]*(?:async )?def \w+\(", 3),
+        ("import |from ", r"^[ \t]*(?:import|from) [\w.]+", 2),
+        ("class |elif |if |for |assert |raise |return ", r"^[ \t]*(?:class \w+.*:|elif |if .*:$|for .* in .*:$|assert |raise |return [^;{]*$)", 2),
+        (" = (| = [| = {", r"^[A-Z_]\w* = [(\[{]", 5),
+    ],
+    "java": [("public|private|protected", r"^[ \t]*(?:public|private|protected)\b", 3), ("package ", r"^package [\w.]+;", 3), ("import ", r"^import [\w.]+;", 2)],
+    "javascript": [
+        ("const |let |var ", r"\b(?:const|let|var) \w+ ?=(?!=)", 3),
+        ("function", r"\bfunction\b ?\w*\(", 3),
+        ("=>", r"=>", 2),
+        ("export|describe(|it(", r"^[ \t]*(?:export|describe\(|it\()", 2),
+        ("this.", r"\bthis\.", 1),
+        ("class ", r"^class \w+ \{", 3),
+    ],
+    "go": [("package ", r"^package \w+$", 4), ("func ", r"^func ", 4), (" struct", r"^type \w+ struct", 3), (":=", r":=", 2), ("var ", r"^var \w+ = ", 3)],
+    "c": [
+        ("#define|#include|#if|#endif", r"^#(?:define|include|ifdef|ifndef|endif)", 4),
+        ("static|struct|typedef|unsigned|int|void|char", r"^(?:static|struct|typedef|unsigned|int|void|char)\b", 3),
+        ("->", r"->", 2),
+    ],
+    "sql": [("CREATE|INSERT|SELECT|ALTER|UPDATE|DELETE|DROP|WITH", r"^(?:CREATE|INSERT|SELECT|ALTER|UPDATE|DELETE|DROP|WITH)\b", 4)],
+    "css": [("{", r"^[.#@][\w-]+[^\n]*\{", 4), (": ", r"^[ \t]+[\w-]+: [^\n]*;$", 2)],
+    "yaml": [(":", r"^[ \t]*[\w-]+:(?: |$)", 2), ("- ", r"^[ \t]*- ", 1)],
+    "markdown": [("# ", r"^#{1,6} ", 3), ("```", r"^```", 2), ("* |- ", r"^[*-] ", 1)],
 }
-_MARKS = {kind: [(re.compile(p, re.M), w) for p, w in marks] for kind, marks in _MARKS.items()}
+_MARKS = {kind: [(words.split("|"), re.compile(p, re.M), w) for words, p, w in marks] for kind, marks in _MARKS.items()}
 _LEXER_OF = {"java": "c-like", "javascript": "c-like", "go": "c-like", "c": "c-like"}
 _SENTENCE_END = re.compile(r"""[.!?:;)\]"'`*_>|]$""")
 _NO_SENTENCE = re.compile(r"\s*(?:#{1,6}(?:\s|$)|[*+-]\s|\d+[.)]\s|```|~~~|\||>|=+$|-+$|\*+$)")
@@ -72,7 +89,7 @@ def language_of(text: str) -> str:
     if re.match(r'\s*(?:\{|\[)\s*(?:["{\[\]}]|$)', text):
         return "json"
     plain = re.sub(r"(?ms)^```.*?(?:^```|\Z)", "```", text) if "```" in text else text
-    score = {kind: sum(w * len(p.findall(plain)) for p, w in marks) for kind, marks in _MARKS.items()}
+    score = {kind: sum(weight * len(p.findall(plain)) for words, p, weight in marks if any(w in plain for w in words)) for kind, marks in _MARKS.items()}
     best = max(score, key=score.__getitem__)
     return best if score[best] else "text"
 
@@ -109,7 +126,7 @@ def _cut_comment(line: str) -> bool:
     return bool(sentences) and not re.search(r"""[.!?:;)\]"'`/]$""", words)
 
 
-def _cut_statement(kind: str, line: str, lines: list[str]) -> bool:
+def _cut_statement(kind: str, line: str) -> bool:
     """The last line of code, outside of brackets and comments, lacks its end."""
     if kind in ("java", "javascript", "css", "sql"):
         return not re.search(r"[;})\]>:,]$", line)
@@ -129,15 +146,18 @@ def _cut_python(text: str) -> bool:
         head = block.split("\n", 1)[0]
         if starts and re.match(r"(?:else|elif|except|finally)\b", head):
             continue
-        # A decorator belongs to what follows it; one that is last has lost that.
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(block)
+                tree = ast.parse(block)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             # Prose that was put into a file is no code, cut or not.
             return bool(re.match(r"(?:async\s+def|def|class|if|for|while|with|try|return|import|from|@|assert|raise|[A-Za-z_][\w.]*\s*(?:=|\())", head)) or len(head.split()) < 3
-        return False
+        # A bare name does nothing: it is the start of something else.
+        node = tree
+        while getattr(node, "body", None) and isinstance(node.body, list):
+            node = (getattr(node, "finalbody", None) or getattr(node, "orelse", None) or node.body)[-1]
+        return isinstance(node, ast.Expr) and isinstance(node.value, (ast.Name, ast.Attribute))
     return False
 
 
@@ -171,7 +191,7 @@ def cut_reason(text: str | None) -> str | None:
         return None
     if kind == "python":
         return "statement" if _cut_python(body) else None
-    return "statement" if kind != "json" and _cut_statement(kind, line, []) else None
+    return "statement" if kind != "json" and _cut_statement(kind, line) else None
 
 
 def _prefix_digests(data: bytes, lengths: list[int]) -> list[bytes]:
@@ -213,7 +233,9 @@ def continued_elsewhere(docs: DataFrame) -> DataFrame:
     the line. Equal heads form a group; of a group only its lengths are gathered, each
     once, and each longer member hashes its own prefixes of those lengths: no pairs."""
     texts = docs.select("doc_id", "text").filter(F.length("text") >= _GRID[0] // 4)
-    heads = texts.mapInPandas(_heads, "doc_id bigint, n_bytes bigint, digest binary, heads array<binary>, midline boolean")
+    ensure_checkpoint_dir(docs.sparkSession)
+    # Some hundred bytes a text, read three times below.
+    heads = texts.mapInPandas(_heads, "doc_id bigint, n_bytes bigint, digest binary, heads array<binary>, midline boolean").checkpoint()
     ends = heads.filter("midline").select(F.element_at("heads", -1).alias("head"), F.size("heads").alias("step"), "n_bytes", "digest", "doc_id")
     lengths = ends.groupBy("step", "head").agg(F.collect_set("n_bytes").alias("lengths"))
     spread = heads.select("doc_id", "n_bytes", F.posexplode("heads").alias("at", "head")).select("doc_id", "n_bytes", (F.col("at") + 1).alias("step"), "head")
