@@ -1,6 +1,8 @@
 """The sequence dictionary: absolute indices, positions, and ranges given by name.
 
-Indices are 0-based over all contigs laid end to end; positions are 1-based.
+Indices are 0-based over all contigs laid end to end; positions are 1-based. The dictionary
+is fixed per reference genome (some hundred contigs, the same for any number of reads), so
+it is the one side that is broadcast without a count.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genoframe.functions.names import contig_key
-from genoframe.operators.joins import join_checked
 
 #: Width of the slices into which contigs are cut for index lookups.
 _SLICE = 1 << 24
@@ -36,7 +37,7 @@ def with_index(df: DataFrame, contigs: DataFrame, name: str, pos: str, how: str
     Unknown or null names are dropped, or kept without an index if ``how`` is ``left``."""
     known = dictionary(contigs).select("contig_key", F.col("contig_name").alias("_name"), F.col("start_idx").alias("_start"))
     keyed = df.drop("contig_key", "contig_name", "idx").withColumn("contig_key", contig_key(name))
-    joined = join_checked(keyed, known, ["contig_key"], how)
+    joined = keyed.join(F.broadcast(known), "contig_key", how)
     return joined.withColumn("contig_name", F.col("_name")).withColumn("idx", F.col("_start") + F.col(pos) - 1).drop("_name", "_start")
 
 
@@ -49,7 +50,7 @@ def with_position(df: DataFrame, contigs: DataFrame, idx: str = "idx") -> DataFr
         F.explode(F.sequence(F.expr(f"start_idx div {_SLICE}"), F.expr(f"(start_idx + contig_length - 1) div {_SLICE}"))).alias("_slice"),
     )
     sliced = df.withColumn("_slice", F.expr(f"{idx} div {_SLICE}"))
-    found = join_checked(sliced, slices, ["_slice"], "inner").filter(F.col(idx).between(F.col("_start"), F.col("_end") - 1))
+    found = sliced.join(F.broadcast(slices), "_slice").filter(F.col(idx).between(F.col("_start"), F.col("_end") - 1))
     return found.select(*df.columns, F.col("_name").alias("contig_name"), (F.col(idx) - F.col("_start") + 1).alias("ref_pos"))
 
 

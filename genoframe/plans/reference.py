@@ -36,7 +36,9 @@ def _sites(spark: SparkSession, sf: str, table: str = "vcf_sites") -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    first = variants.first_per_index(variants.classify(_sites(spark, sf)), "rec_id")
+    # The table is small beside the reads and is counted, joined and split again below.
+    ensure_checkpoint_dir(spark)
+    first = variants.first_per_index(variants.classify(_sites(spark, sf)), "rec_id").checkpoint()
     return variants.snv_table(first), variants.indel_table(first)
 
 
@@ -163,14 +165,15 @@ def overlap_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return differences.overlap_clusters(spans)
 
 
-def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Masks, cells of masked variants, and the variants."""
     cells, snv = _snv_cells(spark, sf)
     # Cells are counted, masked and looked up again; the interval join runs once.
     ensure_checkpoint_dir(spark)
     cells = cells.checkpoint()
     calls = pileup.call_genotypes(pileup.base_counts(cells)).join(snv.select("idx", F.col("counts").alias("public")), "idx")
     masks = masking.masks(masking.draw_public(calls, SEED))
-    return masks, masking.mask_cells(cells, masks, SEED)
+    return masks, masking.mask_cells(cells, masks, SEED), snv
 
 
 def genotype_masks(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,8 +214,7 @@ def difference_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of a masking run over single-base variants."""
-    placed, (masks, cells) = _reads(spark, sf), _masked(spark, sf)
-    snv, _ = _tables(spark, sf)
+    placed, (_, cells, snv) = _reads(spark, sf), _masked(spark, sf)
     return masking.run_counters(placed, covering_reads(placed, snv), snv, cells)
 
 
@@ -227,7 +229,7 @@ def masked_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Masked reads restored from difference records and second-mask rows: the originals."""
-    placed, (_, cells) = _reads(spark, sf), _masked(spark, sf)
+    placed, (_, cells, _) = _reads(spark, sf), _masked(spark, sf)
     masked = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
     given = placed.drop("seq", "cigar", "qual").join(masked, "ord")
     records = masking.difference_table(cells)
