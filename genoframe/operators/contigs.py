@@ -89,5 +89,14 @@ def resolve_range(contigs: DataFrame, start_name: str | None, start_pos: int | N
     return first, last
 
 
+def narrow_range(wanted: tuple[int, int] | None, given: tuple[int, int]) -> tuple[int, int]:
+    """The wanted range, which must lie within the given one; without one, the given."""
+    if wanted is None:
+        return given
+    if wanted[0] < given[0] or wanted[1] > given[1]:
+        raise ValueError("the range isn't within the one that may be read")
+    return wanted
+
+
 def within(idx: Column, bounds: tuple[int, int]) -> Column:
     return idx.between(*bounds)

@@ -88,3 +88,26 @@ def read_differences(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(images(5), images(4)).alias("images_b"),
         F.transform(images(6), lambda n: n.cast("int")).alias("beta"),
     )
+
+
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, md5) of files that aren't empty; each is read by one task, so for files of
+    moderate size."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.md5("content").alias("md5"))
+
+
+# Fixed value: how a masked file's header line begins.
+MARK = "@mt"
+
+
+def mark_header(lines: list[str], source_md5: str, table_md5: str) -> list[str]:
+    """Header lines with the mark of a masked file; marked ones are refused."""
+    if any(line.startswith(MARK) for line in lines):
+        raise ValueError("the file is masked already")
+    return [*lines, f"{MARK}\tbm:{source_md5}\tvc:{table_md5}"]
+
+
+def unmark_header(lines: list[str]) -> list[str]:
+    """Header lines without the mark, if it is the last of them; else as they are."""
+    return lines[:-1] if lines and lines[-1].startswith(MARK) else lines

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from genoframe.functions import bases, cigar
 from genoframe.functions.draws import uniform, weighted_index
 from genoframe.functions.info import alternative_frequency, format_value, info_counts, info_number, with_reference_count
+from genoframe.functions.sealing import seal, seal_cbc, unseal, unseal_cbc
 from genoframe.operators import contigs, differences, genotype_matrix, interval_join, masking, pileup, position_sets, reads, variants
 from genoframe.sources import text_formats
 from genoframe.streaming.coverage import windowed_coverage
@@ -362,3 +363,25 @@ def test_coverage_of_a_stream(spark, tmp_path):
     got = sorted((str(r.window_start), r.contig_key, r.n_reads, r.n_bases) for r in spark.table("covered").collect())
     assert got == [("2024-01-01 00:00:00", "1", 2, 6), ("2024-01-02 00:00:00", "2", 1, 1)]
     assert windowed_coverage(df).count() == 2
+
+
+def test_sealed_values(spark):
+    key, other, plain = F.lit(b"k" * 16), F.lit(b"o" * 16), F.lit(b"some bytes")
+    assert bytes(one(spark, unseal(seal(plain, key), key))[0]) == b"some bytes"
+    assert bytes(one(spark, unseal_cbc(seal_cbc(plain, key), key))[0]) == b"some bytes"
+    fixed = one(spark, seal_cbc(plain, key, F.lit(b"v" * 16)), seal(F.lit(None).cast("binary"), key))
+    assert bytes(fixed[0])[:16] == b"v" * 16 and len(fixed[0]) == 32 and fixed[1] is None
+    with pytest.raises(Exception, match="(?i)decrypt|aes|tag|crypto"):
+        one(spark, unseal(seal(plain, key), other))
+
+
+def test_headers_checksums_and_narrow_ranges(spark, tmp_path):
+    marked = text_formats.mark_header(["@HD"], "a", "b")
+    assert text_formats.unmark_header(marked) == ["@HD"] == text_formats.unmark_header(["@HD"])
+    with pytest.raises(ValueError):
+        text_formats.mark_header(marked, "a", "b")
+    (tmp_path / "x").write_bytes(b"abc")
+    assert text_formats.file_checksums(spark, str(tmp_path / "x")).first().md5 == "900150983cd24fb0d6963f7d28e17f72"
+    assert contigs.narrow_range(None, (1, 9)) == (1, 9) and contigs.narrow_range((2, 9), (1, 9)) == (2, 9)
+    with pytest.raises(ValueError):
+        contigs.narrow_range((0, 3), (1, 9))
