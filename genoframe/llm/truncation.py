@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import keyword
 import re
 import warnings
 from collections.abc import Iterator
@@ -74,7 +75,8 @@ _MARKS = {
     "sql": [("CREATE|INSERT|SELECT|ALTER|UPDATE|DELETE|DROP|WITH", r"^(?:CREATE|INSERT|SELECT|ALTER|UPDATE|DELETE|DROP|WITH)\b", 4)],
     "css": [("{", r"^[.#@][\w-]+[^\n]*\{", 4), (": ", r"^[ \t]+[\w-]+: [^\n]*;$", 2)],
     "yaml": [(":", r"^[ \t]*[\w-]+:(?: |$)", 2), ("- ", r"^[ \t]*- ", 1)],
-    "markdown": [("# ", r"^#{1,6} ", 3), ("```", r"^```", 2), ("* |- ", r"^[*-] ", 1)],
+    # A heading has a blank line after it; lines of comments follow one another.
+    "markdown": [("# ", r"^#{1,6} [^\n]*(?=\n[ \t]*\n|\s*\Z)", 3), ("* |- ", r"^[*-] ", 1)],
 }
 _MARKS = {kind: [(words.split("|"), re.compile(p, re.M), w) for words, p, w in marks] for kind, marks in _MARKS.items()}
 _LEXER_OF = {"java": "c-like", "javascript": "c-like", "go": "c-like", "c": "c-like"}
@@ -82,13 +84,19 @@ _SENTENCE_END = re.compile(r"""[.!?:;)\]"'`*_>|]$""")
 _NO_SENTENCE = re.compile(r"\s*(?:#{1,6}(?:\s|$)|[*+-]\s|\d+[.)]\s|```|~~~|\||>|=+$|-+$|\*+$)")
 _BLOCK_START = re.compile(r"^(?![)\]}#\s])", re.M)
 _RULE = re.compile(r"\W*$")
+_FENCE = re.compile(r"^[ \t]*```[\w-]*[ \t]*$", re.M)
+_OPEN_COMMENT = re.compile(r"^[ \t]*/\*(?!.*\*/)", re.M | re.S)
+# A name after a dot may be a keyword in the files that this reads, though not in Python.
+_KEYWORD_NAME = re.compile(r"\.(?:" + "|".join(keyword.kwlist) + r")\b")
 
 
 def language_of(text: str) -> str:
     """The language whose marks are most, or ``text``."""
     if re.match(r'\s*(?:\{|\[)\s*(?:["{\[\]}]|$)', text):
         return "json"
-    plain = re.sub(r"(?ms)^```.*?(?:^```|\Z)", "```", text) if "```" in text else text
+    if _FENCE.search(text):
+        return "markdown"
+    plain = text
     score = {kind: sum(weight * len(p.findall(plain)) for words, p, weight in marks if any(w in plain for w in words)) for kind, marks in _MARKS.items()}
     best = max(score, key=score.__getitem__)
     return best if score[best] else "text"
@@ -142,7 +150,7 @@ def _cut_statement(kind: str, line: str) -> bool:
 def _cut_python(text: str) -> bool:
     starts = [m.start() for m in _BLOCK_START.finditer(text)]
     while starts:
-        block = text[starts.pop() :]
+        block = _KEYWORD_NAME.sub(".x", text[starts.pop() :])
         head = block.split("\n", 1)[0]
         if starts and re.match(r"(?:else|elif|except|finally)\b", head):
             continue
@@ -174,6 +182,8 @@ def cut_reason(text: str | None) -> str | None:
     if _RULE.fullmatch(line) and len(line) > 9:
         return None
     if kind in ("markdown", "text"):
+        if "/*" in body and _OPEN_COMMENT.search(body):
+            return "comment"
         if kind == "markdown" and len(re.findall(r"(?m)^\s*```", body)) % 2:
             return "block"
         raw = body.rsplit("\n", 1)[-1]

@@ -212,10 +212,12 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
 WHOLE = [
     None, "", " \n", "\ufeff", "x = 1\n", "def f():\n    return 1\n# see the notes (", 'a = "("\n', "# Title\n\nSome words end.\n\n## Last heading", "Some text. It ends.\n\n* a list entry", "int f(void)\n{\n\treturn 0;\n}\n/* a ( b */", "#define OPEN '('\n",
     "const a = `x`;\n// group the lever ...", '{"a": [1, "{"]}\n', "a:\n  - b\n  c: d\n", "SELECT 1;\n-- done", "// note etc. ...", "CREATE TABLE t (\n  a INT\n);\n", "package a\n\nfunc f() int {\n\treturn 1\n}\n" + "-" * 60 + "\n", ".a {\n  b: c;\n}\n",
+    "def test_a():\n    x = f(1)\n    assert not x.global\n", "# Title\n\nWords.\n\ndef f(x):\n    return x\n\n```\nctl run --x\n```\n",
 ]
 CUT = [
     "def f(x):\n    ret", "def f(x):\n    return g(x", 'def f(x):\n    """Some doc', "function f() {\n  const a = 1;\n", "const a = (b) => b.c...", "int f(void)\n{\n\treturn 0;", "#define A 1\n\n/* The end of", '{\n  "a": {"b": 1},\n  "c": tr', "CREATE TABLE t (\n  a INT,",
     "# Title\n\nThe first sentence. The sec", "a:\n  b: c\n  # This key is for th", ".a {\n  b: c", "package a\n\nfunc f() int {\n\treturn 1\n", "def f():\n    return 1\n\ndef te...", "class A {\n  constructor() {\n    this.a = 1;\n  }\n\n\n",
+    '# a note of\n# many words\n# in a file\nclass A:\n    """See the', "/*\n * It is late to",
 ]
 
 
