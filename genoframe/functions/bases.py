@@ -18,19 +18,24 @@ def base_code(base: Column) -> Column:
     return F.when((F.length(base) == 1) & (at > 0), at - 1)
 
 
+def _joined(alleles: Column) -> Column:
+    # One text to match instead of a loop over elements; a null is no base either.
+    return F.array_join(alleles, ",", "?")
+
+
 def is_snv(alleles: Column) -> Column:
     """Two or more alleles, each a single base."""
-    return (F.size(alleles) >= 2) & F.forall(alleles, lambda a: a.rlike("^[ATGC]$"))
+    return _joined(alleles).rlike("^[ATGC](,[ATGC])+$")
 
 
 def is_indel(alleles: Column) -> Column:
     """Only bases in all alleles, and some allele of two bases or more."""
-    return F.forall(alleles, lambda a: a.rlike("^[ATGC]*$")) & F.exists(alleles, lambda a: F.length(a) >= 2)
+    return _joined(alleles).rlike("^(?=.*[ATGC]{2})[ATGC,]*$")
 
 
 def shares_first_base(alleles: Column) -> Column:
     """Every allele begins with the base that the first one begins with."""
-    return F.forall(alleles, lambda a: F.left(a, F.lit(1)) == F.left(F.element_at(alleles, 1), F.lit(1)))
+    return _joined(alleles).rlike(r"^([ATGC])[ATGC]*(,\1[ATGC]*)*$")
 
 
 def swap_permutation(*pairs: tuple[Column, Column]) -> Column:

@@ -21,7 +21,9 @@ def operations(cigar: Column) -> Column:
 
 def _length_on(cigar: Column, ops: str) -> Column:
     parts = F.arrays_zip(lengths(cigar).alias("n"), operations(cigar).alias("op"))
-    return F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.when(p["op"].isin(*ops), p["n"]).otherwise(0))
+    folded = F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.when(p["op"].isin(*ops), p["n"]).otherwise(0))
+    # Most reads are one match from end to end.
+    return F.when(cigar.rlike("^[0-9]+M$"), F.rtrim(cigar, F.lit("M")).try_cast("int")).otherwise(folded)
 
 
 def reference_length(cigar: Column) -> Column:
