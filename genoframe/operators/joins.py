@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of short columns is broadcast (some tens of MB at most).
-BROADCAST_ROWS = 200_000
-#: Parts into which a key is cut where the small side is beyond that.
-SALTS = 32
+#: Rows up to which a side of a few short columns is broadcast (some tens of MB at most).
+BROADCAST_ROWS = 1_000_000
+#: Parts into which a key is cut where the small side is beyond that; what is still uneven
+#: then is left to adaptive execution, which splits large partitions.
+SALTS = 16
 
 
 def _on(keys: list[str]) -> Column:

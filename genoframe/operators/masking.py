@@ -99,20 +99,19 @@ def run_counters(reads: DataFrame, covering: DataFrame, variants: DataFrame, mas
 
 
 def rewrite_reads(reads: DataFrame, changes: DataFrame) -> DataFrame:
-    """Reads with their changed alleles put in: (ord, seq, cigar, qual) of all reads.
+    """All reads, as they are but with their changed alleles put into seq, cigar and qual.
 
     ``changes`` has (ord, seq_pos, unit, old, new, ref_allele); a read's are applied from
     its end, so that earlier places stay valid. A read covers few variants, and they don't
     overlap."""
     cell = F.struct("seq_pos", "unit", "old", "new", "ref_allele")
     listed = changes.filter("old <> new").groupBy("ord").agg(F.sort_array(F.collect_list(cell), asc=False).alias("_cells"))
-    joined = reads.select("ord", "seq", "cigar", "qual").join(listed, "ord", "left")
+    joined = reads.join(listed, "ord", "left")
     state = F.struct(F.col("seq"), expand(F.col("cigar")).alias("expanded"), F.col("qual"))
     done = F.aggregate("_cells", state, lambda acc, c: place_allele(c, acc["seq"], acc["expanded"], acc["qual"]))
     joined = joined.withColumn("_done", F.when(F.col("_cells").isNotNull(), done))
-    return joined.select(
-        "ord", F.coalesce("_done.seq", "seq").alias("seq"), F.coalesce(shrink(F.col("_done.expanded")), "cigar").alias("cigar"), F.coalesce("_done.qual", "qual").alias("qual")
-    )
+    put = {"seq": F.coalesce("_done.seq", "seq"), "cigar": F.coalesce(shrink(F.col("_done.expanded")), "cigar"), "qual": F.coalesce("_done.qual", "qual")}
+    return joined.select(*[put[c].alias(c) if c in put else F.col(c) for c in reads.columns])
 
 
 def drawn_bijection(alleles: list[str], private: list[int], public: list[int], draws: list[float]) -> dict[str, str]:

@@ -32,19 +32,21 @@ def cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def snv_cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
-    """Cells with ``allele``, the base shown there; null if it is none of the four."""
+    """Cells with ``allele``, the base shown there; null if it is none of the four. Repeated
+    rows of a read give its cell once."""
     base = F.call_function("substring", F.col("seq"), F.col("seq_pos") + 1, F.lit(1))
-    return cells(reads, variants).withColumn("allele", F.when(base.isin(*BASES), base)).drop("seq", "cigar")
+    return cells(reads, variants).withColumn("allele", F.when(base.isin(*BASES), base)).drop("seq", "cigar").distinct()
 
 
 def indel_cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
     """Cells with ``allele``, the one of ``alleles`` (the reference's first) that the read
-    shows; null if undecided, or if no CIGAR letter follows it."""
+    shows; null if undecided, or if no CIGAR letter follows it. Each cell comes once."""
     rows = cells(reads, variants).withColumn("_exp", expand(F.col("cigar"))).withColumn("ref_allele", F.element_at("alleles", 1))
     found = matching_allele(F.col("seq"), F.col("_exp"), F.col("alleles"), F.col("ref_allele"), F.col("seq_pos"), F.col("unit"))
     rows = rows.withColumn("allele", F.when(F.col("seq_pos").isNotNull(), found))
     used = F.greatest(F.length("allele"), F.length("ref_allele"))
-    return rows.withColumn("allele", F.when(F.length("_exp") > F.col("unit") + used, F.col("allele"))).drop("_exp", "seq", "cigar")
+    rows = rows.withColumn("allele", F.when(F.length("_exp") > F.col("unit") + used, F.col("allele")))
+    return rows.drop("_exp", "seq", "cigar").distinct()
 
 
 def base_counts(snv: DataFrame) -> DataFrame:

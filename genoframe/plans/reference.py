@@ -23,8 +23,8 @@ def _contigs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "contigs")
 
 
-def _reads(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.place_reads(read_table(spark, sf, "alignments"), _contigs(spark, sf))
+def _reads(spark: SparkSession, sf: str, once: bool = True) -> DataFrame:
+    return reads.place_reads(read_table(spark, sf, "alignments"), _contigs(spark, sf), once)
 
 
 def _sites(spark: SparkSession, sf: str, table: str = "vcf_sites") -> DataFrame:
@@ -82,20 +82,21 @@ def scan_range_unmapped(spark: SparkSession, sf: str) -> DataFrame:
 
 def covering_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How many reads cover each listed site, deletions included."""
-    pairs = covering_pairs(_reads(spark, sf).select("ord", "start_idx", "end_idx"), _sites(spark, sf).select("idx").distinct())
+    # Repeated rows of a read collapse as pairs: there are far fewer of them than reads.
+    pairs = covering_pairs(_reads(spark, sf, once=False).select("ord", "start_idx", "end_idx"), _sites(spark, sf).select("idx").distinct()).select("ord", "idx").distinct()
     return pairs.groupBy("idx").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
 def covering_read_count(spark: SparkSession, sf: str) -> DataFrame:
     """Reads per sample that cover a listed site at least."""
-    placed = _reads(spark, sf)
-    hit = covering_reads(placed, _sites(spark, sf))
-    return placed.select("ord", "sample_id").join(hit, "ord", "left_semi").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_covering"))
+    placed = _reads(spark, sf, once=False).select("ord", "start_idx", "end_idx", "sample_id")
+    hit = covering_pairs(placed, _sites(spark, sf).select("idx").distinct()).select("ord", "sample_id").distinct()
+    return hit.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_covering"))
 
 
 def _snv_cells(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     snv, _ = _tables(spark, sf)
-    return pileup.snv_cells(_reads(spark, sf), snv.select("idx", "ref_id", F.col("counts").alias("public"))), snv
+    return pileup.snv_cells(_reads(spark, sf, once=False), snv.select("idx")), snv
 
 
 def pileup_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,27 +223,29 @@ def _changes(cells: DataFrame, old: str, new: str) -> DataFrame:
     return cells.filter(f"{old} is not null").select("ord", "seq_pos", "unit", F.col(old).alias("old"), F.col(new).alias("new"), F.col(old).alias("ref_allele"))
 
 
+_READ = ("ord", "seq", "cigar", "qual")
+
+
 def masked_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Reads with the masked bases put in."""
-    return masking.rewrite_reads(_reads(spark, sf), _changes(_masked(spark, sf)[1], "allele", "masked"))
+    return masking.rewrite_reads(_reads(spark, sf), _changes(_masked(spark, sf)[1], "allele", "masked")).select(*_READ)
 
 
 def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Masked reads restored from difference records and second-mask rows: the originals."""
     placed, (_, cells, _) = _reads(spark, sf), _masked(spark, sf)
-    masked = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
-    given = placed.drop("seq", "cigar", "qual").join(masked, "ord")
+    given = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
     records = masking.difference_table(cells)
     again = pileup.snv_cells(given, records.select("idx"))
     restored = masking.unmask_cells(again, records, masking.second_mask_reads(cells))
-    return masking.rewrite_reads(given, _changes(restored, "allele", "restored"))
+    return masking.rewrite_reads(given, _changes(restored, "allele", "restored")).select(*_READ)
 
 
 def indel_pileup(spark: SparkSession, sf: str) -> DataFrame:
     """Allele that each read shows at each insertion or deletion that it covers."""
     _, indel = _tables(spark, sf)
     picked = indel.select("idx", F.col("alleles.seq").alias("alleles"), F.col("alleles.count").alias("counts"))
-    return pileup.indel_cells(_reads(spark, sf), picked).select("ord", "idx", "seq_pos", "unit", "allele")
+    return pileup.indel_cells(_reads(spark, sf, once=False), picked).select("ord", "idx", "seq_pos", "unit", "allele")
 
 
 def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +258,7 @@ def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
     joined = cells.filter("allele is not null").join(masks, "idx")
     changes = joined.select("ord", "seq_pos", "unit", F.col("allele").alias("old"), F.element_at("mask", F.col("allele")).alias("new"), "ref_allele")
     hit = changes.select("ord").distinct()
-    return masking.rewrite_reads(placed.join(hit, "ord", "left_semi"), changes)
+    return masking.rewrite_reads(placed.join(hit, "ord", "left_semi"), changes).select(*_READ)
 
 
 def ciphered_reads(spark: SparkSession, sf: str) -> DataFrame:
