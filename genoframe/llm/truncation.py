@@ -250,7 +250,7 @@ def continued_elsewhere(docs: DataFrame) -> DataFrame:
     lengths = ends.groupBy("step", "head").agg(F.collect_set("n_bytes").alias("lengths"))
     spread = heads.select("doc_id", "n_bytes", F.posexplode("heads").alias("at", "head")).select("doc_id", "n_bytes", (F.col("at") + 1).alias("step"), "head")
     longer = (
-        join_checked(spread, lengths, ["step", "head"], "inner")
+        join_checked(spread, lengths, ["step", "head"], "inner", limit=200_000)
         .select("doc_id", F.filter("lengths", lambda n: n < F.col("n_bytes")).alias("lengths"))
         .filter(F.size("lengths") > 0)
         .groupBy("doc_id")
