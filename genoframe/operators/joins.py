@@ -32,3 +32,9 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.alias("big").join(spread.alias("small"), _on([*keys, "_salt"]), how).select(*picked)
+
+
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """One row with all columns of tables of one row each, which share no column."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for part in parts for c in part.columns])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from genoframe.functions.bases import BASES, permute_base, swap_permutation
 from genoframe.functions.cigar import expand, place_allele, shrink
 from genoframe.functions.draws import uniform, weighted_index
+from genoframe.operators.joins import side_by_side
 
 # What a mask does to the genotype.
 HOMO_TO_HOMO, HOMO_TO_HETERO, HETERO_TO_HETERO, HETERO_TO_HOMO = range(4)
@@ -92,10 +93,7 @@ def run_counters(reads: DataFrame, covering: DataFrame, variants: DataFrame, mas
         variants.agg(F.count(F.lit(1)).alias("n_variants")),
         changed.agg(F.count(F.lit(1)).alias("n_changed_cells"), F.count_distinct("ord").alias("n_changed_reads"), F.count_distinct("idx").alias("n_records")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(part)  # one row each
-    return out
+    return side_by_side(*parts)
 
 
 def rewrite_reads(reads: DataFrame, changes: DataFrame) -> DataFrame:

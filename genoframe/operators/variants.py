@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from genoframe.functions.bases import BASES, base_code, is_indel, is_snv, shares_first_base
 from genoframe.functions.draws import uniform
 from genoframe.functions.info import with_reference_count
+from genoframe.operators.joins import side_by_side
 
 # Fixed value: counts by which alleles of random variants are weighted.
 RANDOM_COUNTS = (3, 3, 2, 2)
@@ -74,8 +75,7 @@ def table_counters(classified: DataFrame, first: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin("snv", "indel") & F.col("idx").isNotNull()).alias("_usable"),
     )
     kept = first.agg(F.count_if(F.col("status") == "snv").alias("n_snv"), F.count_if(F.col("status") == "indel").alias("n_indel"))
-    both = seen.crossJoin(kept)  # one row each
-    return both.withColumn("n_same_index", F.col("_usable") - F.col("n_snv") - F.col("n_indel")).drop("_usable")
+    return side_by_side(seen, kept).withColumn("n_same_index", F.col("_usable") - F.col("n_snv") - F.col("n_indel")).drop("_usable")
 
 
 def as_variants(snv: DataFrame, indel: DataFrame) -> DataFrame:
