@@ -35,6 +35,8 @@ from genoframe.tables import ensure_checkpoint_dir
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that one task packs together, and containers of one step.
 SHARD_PIECES, STEP_CONTAINERS = 20_000, 8
+#: Capacities that one call may pack for.
+MAX_SPECS = 1000
 #: Tiers below the longest; the last takes all that is shorter.
 TIERS = 6
 # Fixed value: the pattern by which this vocabulary's texts are cut before merging.
@@ -130,17 +132,21 @@ def _pack_shards(key: str):
 def pack_texts(sizes: DataFrame, key: str, specs: DataFrame, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Container, place and step group of every piece of every text, for each capacity.
 
-    ``sizes`` has (key bigint, n_tokens), ``specs`` (spec_id, capacity_tokens); specs are a
-    short list of settings."""
+    ``sizes`` has (key bigint, n_tokens), ``specs`` (spec_id, capacity_tokens): settings, of
+    which there may be ``MAX_SPECS``."""
     ensure_checkpoint_dir(sizes.sparkSession)
     sizes = sizes.select(key, "n_tokens").checkpoint()
-    specs = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("int").alias("capacity_tokens")).filter("capacity_tokens > 0 and spec_id is not null")
-    # Pieces to come of each capacity tell how many shards it needs: one row each.
-    pieces = F.greatest(F.lit(1), F.expr("(n_tokens + capacity_tokens - 1) div capacity_tokens"))
-    planned = sizes.crossJoin(F.broadcast(specs)) if not specs.isEmpty() else sizes.limit(0).crossJoin(specs)
-    shards = planned.groupBy("spec_id", "capacity_tokens").agg(F.expr(f"cast(ceil(sum(greatest(1, (n_tokens + capacity_tokens - 1) div capacity_tokens)) / {shard_pieces}) as int)").alias("shards"))
-    rows = sizes.join(F.broadcast(shards)) if not specs.isEmpty() else planned.withColumn("shards", F.lit(1))
-    rows = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(1), pieces.cast("int"))))
+    wanted = specs.select(F.col("spec_id").cast("int"), F.col("capacity_tokens").cast("int")).filter("capacity_tokens > 0 and spec_id is not null").distinct().limit(MAX_SPECS + 1).collect()
+    if len(wanted) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} capacities")
+    # How many pieces there will be for each capacity tells how many shards it needs.
+    pieces = [F.coalesce(F.sum(F.expr(f"greatest(1, (n_tokens + {c - 1}) div {c})")), F.lit(0)) for _, c in wanted]
+    totals = sizes.agg(*pieces).first() if wanted else []
+    plans = [F.struct(F.lit(spec).alias("spec_id"), F.lit(c).alias("capacity_tokens"), F.lit(max(1, -(-n // shard_pieces))).alias("shards")) for (spec, c), n in zip(wanted, totals)]
+    kind = "array<struct<spec_id:int,capacity_tokens:int,shards:int>>"
+    rows = sizes.withColumn("_plan", F.explode(F.array(*plans).cast(kind))).select(key, "n_tokens", "_plan.*")
+    n_pieces = F.expr("greatest(1, (n_tokens + capacity_tokens - 1) div capacity_tokens)").cast("int")
+    rows = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(1), n_pieces)))
     rows = rows.select(
         "spec_id",
         "capacity_tokens",
