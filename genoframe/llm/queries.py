@@ -51,6 +51,11 @@ def p5_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(_day_summaries(spark, sf_dir), ["panel_id", "called_on", "metric"], POINTS)
 
 
+def p5_panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values the merged summaries of each panel stand for."""
+    return merge_summaries(_day_summaries(spark, sf_dir), ["panel_id", "metric"]).select("panel_id", "metric", F.col("n").alias("n_values"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return pack_texts(sizes, "doc_id", read_table(spark, sf_dir, "pack_specs"))
@@ -109,6 +114,7 @@ QUERIES = {
     "p4_records": p4_records,
     "p5_panel_percentiles": p5_panel_percentiles,
     "p5_day_percentiles": p5_day_percentiles,
+    "p5_panel_counts": p5_panel_counts,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
@@ -143,7 +149,14 @@ hits as (
     on d.g = i.g)
 """
 
+_P5 = """
+with once as (select distinct metric_id, panel_id, called_on, vcf_qual, call_depth, alt_freq from call_metrics),
+long as (
+  select panel_id, 'vcf_qual' as metric, vcf_qual as x from once union all select panel_id, 'call_depth', call_depth::double from once union all select panel_id, 'alt_freq', alt_freq from once)
+select panel_id, metric, count(*) as n_values from long where x >= 0 and not isnan(x) group by 1, 2"""
+
 ORACLE = {
+    "p5_panel_counts": _P5,
     "p4_found": _P4 + "select rep as sub_id, sub_id as dup_sub_id from counted where sub_id <> rep",
     "p4_records": _P4 + "select sub_id, n as n_copies from counted where sub_id = rep",
     "p8_found": _P8 + "select doc_id, item_id from hits",
