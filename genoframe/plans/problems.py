@@ -132,6 +132,24 @@ select line_id, file_name, line_no, c[1] as vcf_chrom, cast(c[2] as bigint) as v
 from hidden"""
 )
 
+# A piece is a run of quoted text, of what may not be split, and of anything but delimiters.
+_P3 = r"""
+with once as (select distinct call_id, vcf_alt, vcf_info, vcf_format from vcf_calls),
+fields as (
+  select call_id, 'vcf_alt' as field_name, vcf_alt as x from once
+  union all select call_id, 'vcf_info', vcf_info from once
+  union all select call_id, 'vcf_format', vcf_format from once),
+trimmed as (select *, regexp_replace(x, '^\s+|\s+$', '', 'g') as t from fields where x is not null),
+bare as (
+  select *, case when length(t) > 1 and starts_with(t, '"') and ends_with(t, '"') and length(t) - length(replace(t, '"', '')) = 2 then t[2:-2] else t end as u from trimmed),
+marked as (
+  select *, case when field_name = 'vcf_info' then list_aggregate(list_transform(string_split(u, '"'), lambda p, i: case when i % 2 = 1 then regexp_replace(p, ',\s*([A-Z][A-Z0-9_]*=)', ';\1', 'g') else p end), 'string_agg', '"') else u end as v
+  from bare where u <> '.'),
+pieces as (select call_id, field_name, list_filter(list_transform(
+    case field_name when 'vcf_alt' then regexp_extract_all(v, '(?:"[^"]*"|<[^>]*>|[^",;|/\s])+') when 'vcf_info' then regexp_extract_all(v, '(?:"[^"]*"|[^";|\s])+') else regexp_extract_all(v, '(?:"[^"]*"|[^":,;|\s])+') end,
+    lambda p: case when regexp_full_match(p, '([^="]*=)?".*"', 's') then replace(regexp_replace(p, '^([^="]*=)?"(.*)"$', '\1\2', 's'), '""', '"') else p end), lambda p: p <> '') as items from marked)
+select distinct call_id, field_name, unnest(generate_series(1, len(items)))::int as item_no, unnest(items) as item from pieces where len(items) > 0"""
+
 _P6 = """
 with named as (
   select 'alignments' as source_table, regexp_replace(lower(trim(reference_name)), '^chr', '') as contig_key, pos, hash(a) as h from alignments a
@@ -158,6 +176,7 @@ union all select x, 'vcf_filter' from j where x = y and l.f is distinct from r.f
 union all select x, 'vcf_info' from j where x = y and l.i is distinct from r.i""",
     "p2_found": _P2 + "select line_id, reason from judged where reason is not null",
     "p2_variants": _P2_TYPED,
+    "p3_found": _P3,
     "p6_contigs": _P6 + "select s.source_table, s.contig_key, k.contig_name, n_rows, n_records, first_pos, last_pos, median_pos from summed s left join keyed k on s.contig_key = k.k",
     "p6_found": _P6
     + """select s.source_table, k.contig_name from summed s join keyed k on s.contig_key = k.k

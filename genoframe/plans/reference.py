@@ -500,6 +500,12 @@ ORACLE = {
 union all select 1, idx, concat(idx, chr(9), list_aggregate(list_transform(al, lambda a, i: concat(counts[i], ':', a)), 'string_agg', ',')) from usable where status = 'indel'""",
         "reference_mismatches": """select s.rec_id, s.idx, left(s.ref, 1) as base from site s join
   (select cs + vcf_pos - 1 as idx, list(distinct left(ref, 1)) as b from mirror_rows join ctg on regexp_replace(lower(trim(vcf_chrom)), '^chr', '') = k group by 1) o on s.idx = o.idx where not list_contains(o.b, left(s.ref, 1))""",
+        "merged_variants": f""", extent as (select min(cs) as a, max(cs + contig_length) - 1 as b from ctg),
+known as (
+  select idx, true as is_snv, substr('ATGC', ref_id + 1, 1) as ref_allele, 'A,T,G,C' as alleles, concat_ws(',', n_a, n_t, n_g, n_c) as counts from snvs
+  union all select idx, false, ref, array_to_string(al, ','), array_to_string(counts, ',') from usable where status = 'indel'),
+drawn_idx as (select distinct cast(floor(cast('0x' || substr(md5(concat('{SEED}:random:', i)), 1, 8) as bigint) / 4294967296.0 * (b - a)) as bigint) + a as idx from extent, range(0, cast(floor({RANDOM_SHARE} * (b - a)) as bigint)) r(i))
+select * from known union all select idx, true, 'A', 'A,T,G,C', '3,3,2,2' from drawn_idx where idx not in (select idx from known)""",
         "overlap_clusters": """, spans as (select idx, max(length(ref)) as length from site where idx is not null group by idx),
 marked as (select *, coalesce(idx >= max(idx + length) over (order by idx rows between unbounded preceding and 1 preceding), true) as b from spans)
 select idx, length, max(case when b then idx end) over (order by idx) as cluster from marked""",
