@@ -21,7 +21,10 @@ def cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
     picked = reads.select("ord", "start_idx", "end_idx", "seq", "cigar")
     pairs = covering_pairs(picked, variants).withColumn("_off", (F.col("idx") - F.col("start_idx")).cast("int"))
     hit = F.filter(aligned_blocks(F.col("cigar")), lambda b: (F.col("_off") >= b["ref"]) & (F.col("_off") < b["ref"] + b["len"]))
-    block = F.get(hit, F.lit(0))
+    # Most reads are one match from end to end, and need no walk along their CIGAR.
+    zero = F.lit(0)
+    whole = F.struct(zero.alias("ref"), zero.alias("seq"), zero.alias("units"), zero.alias("len"))
+    block = F.when(F.col("cigar").rlike("^[0-9]+M$"), whole).otherwise(F.get(hit, zero))
     shift = F.col("_off") - F.col("_block.ref")
     return (
         pairs.withColumn("_block", block)
