@@ -385,7 +385,7 @@ aln as (select * from alignments qualify row_number() over (partition by ord ord
 rd as (
   select ord, qname, cigar, seq, qual, sample_id, contig_name, cs is not null and (flag & 4) = 0 and coalesce(pos, 0) > 0 as mapped,
     case when (flag & 4) = 0 and pos > 0 then cs + pos - 1 end as start_idx,
-    case when (flag & 4) = 0 and pos > 0 then cs + pos - 2 + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: cast(x as bigint))), 0) end as end_idx
+    case when (flag & 4) = 0 and pos > 0 then cast(cs + pos - 2 + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: cast(x as bigint))), 0) as bigint) end as end_idx
   from aln left join ctg on regexp_replace(lower(trim(reference_name)), '^chr', '') = k),
 site_rows as ({_SITE.format(table="vcf_sites")}),
 mirror_rows as ({_SITE.format(table="vcf_sites_mirror")}),
@@ -405,7 +405,7 @@ judged as (
     when snv then 'snv' else 'indel' end as status from kinds),
 usable as (select *, list_concat([cast(an - list_sum(ac) as bigint)], ac) as counts from judged where status in ('snv', 'indel') and idx is not null qualify row_number() over (partition by idx order by rec_id) = 1),
 snvs as (
-  select idx, instr('ATGC', ref) - 1 as ref_id,
+  select idx, cast(instr('ATGC', ref) - 1 as int) as ref_id,
     coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'A'), 0)), 0) as n_a, coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'T'), 0)), 0) as n_t,
     coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'G'), 0)), 0) as n_g, coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'C'), 0)), 0) as n_c
   from usable where status = 'snv'),
@@ -416,7 +416,7 @@ blk as (
   from opn window w as (partition by ord order by i rows between unbounded preceding and 1 preceding)),
 covers as (select r.ord, v.idx, r.start_idx, r.seq, r.sample_id from rd r join (select distinct idx from site) v on v.idx between r.start_idx and r.end_idx where r.mapped),
 cell as (
-  select r.ord, v.idx, v.n_a, v.n_t, v.n_g, v.n_c, cast(b.soff + v.idx - r.start_idx - b.roff as bigint) as seq_pos, cast(b.uoff + v.idx - r.start_idx - b.roff as bigint) as unit,
+  select r.ord, v.idx, v.n_a, v.n_t, v.n_g, v.n_c, cast(b.soff + v.idx - r.start_idx - b.roff as int) as seq_pos, cast(b.uoff + v.idx - r.start_idx - b.roff as int) as unit,
     nullif(regexp_extract(substr(r.seq, cast(b.soff + v.idx - r.start_idx - b.roff + 1 as bigint), 1), '[ATGC]'), '') as allele
   from rd r join snvs v on v.idx between r.start_idx and r.end_idx
     left join blk b on b.ord = r.ord and b.op in ('M', '=', 'X') and v.idx - r.start_idx >= b.roff and v.idx - r.start_idx < b.roff + b.n
@@ -491,8 +491,8 @@ ORACLE = {
         "pileup_counts": "select idx, n_a, n_t, n_g, n_c from counted",
         "genotype_calls": "select idx, allele_a, allele_b from called",
         "allele_count_snvs": "select idx, ref_id, n_a, n_t, n_g, n_c from snvs",
-        "allele_count_indels": "select idx, unnest(range(len(al))) as allele_no, unnest(al) as seq, unnest(counts) as n from usable where status = 'indel'",
-        "allele_count_counters": """select count(*) as n_rows, count(*) filter (status = 'incomplete') as n_incomplete, count(*) filter (status = 'unknown') as n_unknown, 0 as n_skipped,
+        "allele_count_indels": "select idx, cast(unnest(range(len(al))) as int) as allele_no, unnest(al) as seq, unnest(counts) as n from usable where status = 'indel'",
+        "allele_count_counters": """select count(*) as n_rows, count(*) filter (status = 'incomplete') as n_incomplete, count(*) filter (status = 'unknown') as n_unknown, cast(0 as bigint) as n_skipped,
   count(*) filter (status = 'first_base') as n_first_base, count(*) filter (status = 'no_info') as n_no_info, count(*) filter (status = 'no_alternative') as n_no_alternative, count(*) filter (status = 'negative') as n_negative,
   (select count(*) from usable where status = 'snv') as n_snv, (select count(*) from usable where status = 'indel') as n_indel,
   count(*) filter (status in ('snv', 'indel') and idx is not null) - (select count(*) from usable) as n_same_index from judged""",
