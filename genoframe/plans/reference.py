@@ -506,6 +506,13 @@ known as (
   union all select idx, false, ref, array_to_string(al, ','), array_to_string(counts, ',') from usable where status = 'indel'),
 drawn_idx as (select distinct cast(floor(cast('0x' || substr(md5(concat('{SEED}:random:', i)), 1, 8) as bigint) / 4294967296.0 * (b - a)) as bigint) + a as idx from extent, range(0, cast(floor({RANDOM_SHARE} * (b - a)) as bigint)) r(i))
 select * from known union all select idx, true, 'A', 'A,T,G,C', '3,3,2,2' from drawn_idx where idx not in (select idx from known)""",
+        "kept_variants": """, spans as (
+  select c.contig_name, u.idx, cast(length(u.ref) as bigint) as length from (select idx, ref from usable) u join ctg c on u.idx >= c.cs and u.idx < c.cs + c.contig_length),
+lists as (select contig_name, list(struct_pack(s := idx, free := idx + length, kept := [struct_pack(idx := idx, length := length)]) order by idx) as l from spans group by contig_name),
+folded as (
+  select contig_name, list_reduce(l, lambda acc, x: case when x.s >= acc.free then struct_pack(s := x.s, free := x.free, kept := list_concat(acc.kept, x.kept)) else acc end).kept as kept from lists),
+each as (select contig_name, unnest(kept) as v from folded)
+select contig_name, v.idx as idx, v.length as length from each""",
         "overlap_clusters": """, spans as (select idx, max(length(ref)) as length from site where idx is not null group by idx),
 marked as (select *, coalesce(idx >= max(idx + length) over (order by idx rows between unbounded preceding and 1 preceding), true) as b from spans)
 select idx, length, max(case when b then idx end) over (order by idx) as cluster from marked""",
