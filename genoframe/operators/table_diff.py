@@ -101,11 +101,11 @@ def table_diff(
     cells = F.broadcast(cells)
 
     def reread(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(key), F.col(version).alias("_version"), *[f.canonical.alias(n) for n, f in fields.items()])
-        rows = rows.withColumn("_bucket", _bucket(key, buckets)).join(cells, "_bucket")
-        best = rows.groupBy(key).agg(F.max(F.struct("_version", *names)).alias("_best"), F.first("_cells").alias("_cells"))
+        hit = df.withColumn("_bucket", _bucket(key, buckets)).join(cells.select("_bucket"), "_bucket", "left_semi")
+        # The cells come back by bucket after the fold, so that the shuffle needn't carry them.
+        best = current_rows(hit, key, version, fields).withColumn("_bucket", _bucket(key, buckets)).join(cells, "_bucket")
         # Fields of equal cells need no look: on both sides they are left out alike.
-        return best.select(key, F.lit(1).alias("_side"), *[F.when(F.array_contains("_cells", n), F.col(f"_best.{n}")).alias(n) for n in names])
+        return best.select(key, F.lit(1).alias("_side"), *[F.when(F.array_contains("_cells", n), F.col(n)).alias(n) for n in names])
 
     a, b = reread(left).alias("a"), reread(right).alias("b")
     both = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer")
