@@ -3,8 +3,8 @@
 Each copy is folded into a checksum matrix: one row per bucket of keys, one additive
 80-bit sum per column (two 40-bit lanes, so a bucket may hold 2**23 keys before a lane
 could overflow a long). Two copies agree in a bucket and column if the sums agree.
-Only the unequal (bucket, column) cells are read again, narrowed to their buckets and
-columns before the shuffle, and joined field by field.
+Only rows of unequal buckets are read again: they are picked before the shuffle, and of
+each bucket only its unequal columns are joined and compared field by field.
 
 Cases:
 
