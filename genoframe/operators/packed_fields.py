@@ -21,7 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _BLANKS = b" \t\n\r\x0b\x0c"
 
@@ -126,6 +127,17 @@ def split_packed(column: pa.Array, packing: Packing) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values.cast(pa.string()))
 
 
+def packed_values(column: Column, packing: Packing) -> Column:
+    """The values of a packed field as an array; empty if it has none."""
+
+    def split(texts: pa.Array) -> pa.Array:
+        return split_packed(texts, packing)
+
+    # Arrow's types stand here, since hints of a nested function aren't resolved.
+    split.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(split, "array<string>")(column)
+
+
 def explode_packed(df: DataFrame, key: str, key_type: str, fields: dict[str, Packing]) -> DataFrame:
     """Distinct rows (key, field_name, item_no, item): one per value of each field."""
     schema = f"{key} {key_type}, field_name string, item_no int, item string"

@@ -10,6 +10,7 @@ from genoframe.functions.info import format_value, info_counts, info_number
 from genoframe.operators import contigs as dictionary
 from genoframe.operators import differences, genotype_matrix, masking, pileup, position_sets, reads, variants
 from genoframe.operators.interval_join import covering_pairs, covering_reads
+from genoframe.operators.packed_fields import ALLELES, packed_values
 from genoframe.sources import text_formats
 from genoframe.tables import ensure_checkpoint_dir, read_table
 
@@ -348,13 +349,15 @@ def split_sites(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dosages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _calls(spark, sf).withColumn("gt", format_value(F.col("vcf_format"), F.col("genotype"), "GT")).filter("vcf_alt rlike '^[ATGC]$' and gt is not null")
-    split = genotype_matrix.split_alternatives(rows.select("contig_name", "vcf_pos", F.col("vcf_ref").alias("ref"), F.array("vcf_alt").alias("alts"), "sample_id", "gt"))
-    return genotype_matrix.dosages(split)
+    rows = _calls(spark, sf).withColumn("gt", format_value(F.col("vcf_format"), F.col("genotype"), "GT")).filter("gt is not null")
+    # The whole list is split, so that alt_no is the number that the genotype uses.
+    alts = F.transform(packed_values(F.col("vcf_alt"), ALLELES), F.upper)
+    split = genotype_matrix.split_alternatives(rows.select("contig_name", "vcf_pos", F.col("vcf_ref").alias("ref"), alts.alias("alts"), "sample_id", "gt"))
+    return genotype_matrix.dosages(split.filter("alt rlike '^[ATGC]$'"))
 
 
 def sample_dosages(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each sample has each alternative."""
+    """How often each sample has each single-base alternative, multi-allelic calls included."""
     return _dosages(spark, sf)
 
 
