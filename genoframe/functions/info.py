@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from genoframe.operators.packed_fields import FORMATS, packed_values
+
 
 def info_value(info: Column, tag: str) -> Column:
     """The text after ``TAG=``, of its first entry; null if the tag is missing."""
@@ -28,8 +30,11 @@ def with_reference_count(alt_counts: Column, total: Column) -> Column:
 
 
 def format_value(layout: Column, genotype: Column, tag: str) -> Column:
-    """The value of a FORMAT key in a colon-separated genotype; null if it has none."""
-    at = F.array_position(F.split(layout, ":"), F.lit(tag)).cast("int")
+    """The value of a FORMAT key in a colon-separated genotype; null if it has none.
+
+    The layout's keys are those of problem 3: any of its separators, quotes taken off,
+    empty pieces not counted."""
+    at = F.array_position(packed_values(layout, FORMATS), F.lit(tag)).cast("int")
     return F.when(at > 0, F.get(F.split(genotype, ":"), at - 1))
 
 

@@ -2,6 +2,10 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from genoframe.functions.info import format_value
 from genoframe.plans import reference
 from genoframe.tables import read_table
 from oracle import DATA
@@ -41,10 +45,35 @@ def test_dosages_of_multi_allelic_calls(spark, monkeypatch):
 
 
 def test_dosages_against_plain_reading(spark):
-    want = slow_dosages(read_table(spark, SF, "vcf_calls").collect(), lambda layout: (layout or "").split(":"))
+    want = slow_dosages(read_table(spark, SF, "vcf_calls").collect(), lambda layout: slow_split(layout, "vcf_format"))
     known = {re.sub("^chr", "", r.contig_name.strip().lower()) for r in read_table(spark, SF, "contigs").collect()}
     got = {}
     for r in reference.sample_dosages(spark, SF).collect():
         chrom, pos, ref, alt = r.site_id.rsplit(":", 3)
         got[(re.sub("^chr", "", chrom.strip().lower()), int(pos), ref, alt, r.sample_id)] = r.dosage
     assert got == {k: v for k, v in want.items() if k[0] in known}
+
+
+@pytest.mark.parametrize("layout", ["GT:DP", "GT;DP", '"GT:DP"', "GT::DP", " GT | DP ", '"GT","DP"', "GT\tDP,", ";GT,:DP"])
+def test_format_value_in_any_writing(spark, layout):
+    value = lambda tag: format_value(F.lit(layout), F.lit("0/1:7"), tag)
+    assert tuple(spark.range(1).select(value("GT"), value("DP"), value("VAF")).first()) == ("0/1", "7", None)
+
+
+def test_format_value_of_missing_layouts(spark):
+    df = spark.createDataFrame([(None,), ("",), (".",), ("GT",)], "layout string")
+    assert [r[0] for r in df.select(format_value(F.col("layout"), F.lit("0/1"), "GT")).collect()] == [None, None, None, "0/1"]
+
+
+def test_depth_and_frequency_against_plain_reading(spark):
+    def number(r, key, kind):
+        keys, values = slow_split(r.vcf_format, "vcf_format"), (r.genotype or "").split(":")
+        try:
+            return kind(values[keys.index(key)])
+        except (ValueError, IndexError):
+            return None
+
+    calls = {(r.call_id, r.vcf_kind, number(r, "DP", int), number(r, "VAF", float)) for r in read_table(spark, SF, "vcf_calls").filter("vcf_filter = 'PASS' and vcf_qual > 30").collect()}
+    known = {r.call_id for r in reference._calls(spark, SF).select("call_id").collect()}
+    want = {c for c in calls if c[0] in known and c[2] is not None and c[2] > 30}
+    assert {(r.call_id, r.vcf_kind, r.depth, r.freq) for r in reference.passing_calls(spark, SF).collect()} == want
