@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.functions.bases import BASES
+from genoframe.operators.joins import join_null_safe, person_keys
 from genoframe.operators.variants import overlap_runs
 
 
@@ -15,8 +16,9 @@ def slice_range(records: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def bounds(records: DataFrame, pivot: int) -> DataFrame:
-    """One row: first index, last index, least one >= pivot, greatest one <= pivot."""
-    return records.agg(
+    """First index, last index, least one >= pivot, greatest one <= pivot: one row, or one
+    per person."""
+    return records.groupBy(*person_keys(records)[:-1]).agg(
         F.min("idx").alias("first_idx"),
         F.max("idx").alias("last_idx"),
         F.min(F.when(F.col("idx") >= pivot, F.col("idx"))).alias("at_or_after"),
@@ -45,14 +47,15 @@ def overlap_clusters(variants: DataFrame) -> DataFrame:
 
 
 def as_text(records: DataFrame, second: DataFrame, numbering: DataFrame) -> DataFrame:
-    """(idx, line): tab-separated lines of SNV records: index, kind, reference, zygosity,
+    """(sample_id, idx, line): tab-separated lines of SNV records: index, kind, reference, zygosity,
     first mask and, where there are two, the second and the numbers of its reads.
 
     ``numbering`` has (ord, number) of the reads as the file counts them. Lists of numbers
     are per variant, as long as its pile-up."""
-    numbered = second.join(numbering, "ord").groupBy("idx").agg(F.array_join(F.array_sort(F.collect_list("number")), ",").alias("_reads"))
+    keys = person_keys(records)
+    numbered = second.join(numbering, "ord").groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("number")), ",").alias("_reads"))
     letters = lambda c: F.array_join(F.regexp_extract_all(F.col(c), F.lit("(.)"), F.lit(1)), ",")
-    joined = records.join(numbered, "idx", "left")
+    joined = join_null_safe(records, numbered, keys, "left")
     two = F.col("zygosity").isin(1, 3)
     fields = [F.col("idx").cast("string"), F.lit("1"), F.col("ref_id").cast("string"), F.col("zygosity").cast("string"), letters("perm_a")]
-    return joined.select("idx", F.concat_ws("\t", *fields, F.when(two, letters("perm_b")), F.when(two, F.coalesce("_reads", F.lit("")))).alias("line"))
+    return joined.select(*keys, F.concat_ws("\t", *fields, F.when(two, letters("perm_b")), F.when(two, F.coalesce("_reads", F.lit("")))).alias("line"))

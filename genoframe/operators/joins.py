@@ -34,6 +34,18 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     return salted.alias("big").join(spread.alias("small"), _on([*keys, "_salt"]), how).select(*picked)
 
 
+def person_keys(df: DataFrame) -> list[str]:
+    """What tells results apart: the index, and the person's sample where it is known. A
+    null sample is a group of its own, so joins on these keys are null-safe."""
+    return ["sample_id", "idx"] if "sample_id" in df.columns else ["idx"]
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; all columns of ``left``, then the rest of ``right``."""
+    picked = [F.col(f"big.{c}") for c in left.columns] + [F.col(f"small.{c}") for c in right.columns if c not in keys]
+    return left.alias("big").join(right.alias("small"), _on(keys), how).select(*picked)
+
+
 def side_by_side(*parts: DataFrame) -> DataFrame:
     """One row with all columns of tables of one row each, which share no column."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -1,13 +1,14 @@
 """Masking: exchange of a person's bases for ones drawn from the population, and back.
 
 A mask exchanges pairs of bases, so applying it twice restores them. All draws depend on
-seed, index and read alone. Which reads took the second of two masks is kept as rows
+seed, index, sample and read alone, and each person has masks of their own. Which reads took the second of two masks is kept as rows
 (idx, ord), not as positions in a queue.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from genoframe.functions.bases import BASES, permute_base, swap_permutation
 from genoframe.functions.cigar import expand, place_allele, shrink
 from genoframe.functions.draws import uniform, weighted_index
-from genoframe.operators.joins import side_by_side
+from genoframe.operators.joins import join_null_safe, person_keys, side_by_side
 
 # What a mask does to the genotype.
 HOMO_TO_HOMO, HOMO_TO_HETERO, HETERO_TO_HETERO, HETERO_TO_HOMO = range(4)
@@ -27,8 +28,9 @@ def draw_public(calls: DataFrame, seed: int) -> DataFrame:
     counts (order of ``BASES``)."""
     bases = F.array(*[F.lit(b) for b in BASES])
     weights = F.transform("public", lambda n: n.cast("double"))
+    keys = [F.col(c) for c in reversed(person_keys(calls))]
     for which in ("a", "b"):
-        calls = calls.withColumn(f"to_{which}", F.get(bases, weighted_index(weights, uniform(seed, which, F.col("idx")))))
+        calls = calls.withColumn(f"to_{which}", F.get(bases, weighted_index(weights, uniform(seed, which, *keys))))
     return calls
 
 
@@ -60,7 +62,8 @@ def mask_cells(snv: DataFrame, masks: DataFrame, seed: int) -> DataFrame:
 
     Homozygotes made heterozygous take either mask by a draw per read; heterozygotes made
     homozygous take the second where the read shows the second base."""
-    rows = snv.join(masks.select("idx", "zygosity", "perm_a", "perm_b", F.col("allele_b").alias("_second")), "idx")
+    keys = person_keys(masks)
+    rows = join_null_safe(snv, masks.select(*keys, "zygosity", "perm_a", "perm_b", F.col("allele_b").alias("_second")), keys)
     drawn = uniform(seed, "beta", F.col("idx"), F.col("ord")) >= 0.5
     use_b = F.when(F.col("zygosity") == HOMO_TO_HETERO, drawn).when(F.col("zygosity") == HETERO_TO_HOMO, F.coalesce(F.col("allele") == F.col("_second"), F.lit(False))).otherwise(False)
     rows = rows.withColumn("use_b", use_b).drop("_second")
@@ -68,25 +71,40 @@ def mask_cells(snv: DataFrame, masks: DataFrame, seed: int) -> DataFrame:
 
 
 def difference_table(masked: DataFrame) -> DataFrame:
-    """(idx, zygosity, perm_a, perm_b) of the variants at which some read was changed."""
-    return masked.groupBy("idx", "zygosity", "perm_a", "perm_b").agg(F.max(F.col("allele") != F.col("masked")).alias("_changed")).filter("_changed").drop("_changed")
+    """(sample_id, idx, zygosity, perm_a, perm_b) of a person's variants at which some read
+    was changed."""
+    return masked.groupBy(*person_keys(masked), "zygosity", "perm_a", "perm_b").agg(F.max(F.col("allele") != F.col("masked")).alias("_changed")).filter("_changed").drop("_changed")
 
 
 def second_mask_reads(masked: DataFrame) -> DataFrame:
-    """(idx, ord) of the cells that took the second mask."""
-    return masked.filter("use_b").select("idx", "ord")
+    """(sample_id, idx, ord) of the cells that took the second mask."""
+    return masked.filter("use_b").select(*person_keys(masked), "ord")
 
 
 def unmask_cells(snv: DataFrame, differences: DataFrame, second: DataFrame) -> DataFrame:
     """Cells of masked reads with ``restored``, the base that stood there before."""
-    marked = snv.join(differences, "idx").join(second.withColumn("_b", F.lit(True)), ["idx", "ord"], "left")
+    marked = join_null_safe(snv, differences, person_keys(differences))
+    # A read is one person's, so its place in the file is enough here.
+    marked = marked.join(second.select("idx", "ord", F.lit(True).alias("_b")), ["idx", "ord"], "left")
     perm = F.when(F.col("_b"), F.col("perm_b")).otherwise(F.col("perm_a"))
     return marked.withColumn("restored", permute_base(F.col("allele"), perm)).drop("_b")
 
 
 def run_counters(reads: DataFrame, covering: DataFrame, variants: DataFrame, masked: DataFrame) -> DataFrame:
-    """One row: reads, reads over a variant, variants, changed cells, changed reads, records."""
+    """Reads, reads over a variant, variants, changed cells, changed reads, records: a row per
+    person if all of reads, ``covering`` and ``masked`` have ``sample_id``, else one row."""
     changed = masked.filter("allele <> masked")
+    if all("sample_id" in df.columns for df in (reads, covering, masked)):
+        one = F.count(F.lit(1))
+        per_person = [
+            reads.groupBy("sample_id").agg(one.alias("n_reads")),
+            covering.groupBy("sample_id").agg(one.alias("n_covering")),
+            changed.groupBy("sample_id").agg(one.alias("n_changed_cells"), F.count_distinct("ord").alias("n_changed_reads"), F.count_distinct("idx").alias("n_records")),
+        ]
+        rows = reduce(lambda a, b: join_null_safe(a, b, ["sample_id"], "left"), per_person)
+        rows = rows.crossJoin(variants.agg(one.alias("n_variants")))
+        names = ("n_reads", "n_covering", "n_variants", "n_changed_cells", "n_changed_reads", "n_records")
+        return rows.select("sample_id", *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in names])
     parts = [
         reads.agg(F.count(F.lit(1)).alias("n_reads")),
         covering.agg(F.count(F.lit(1)).alias("n_covering")),
@@ -135,20 +153,23 @@ def drawn_bijection(alleles: list[str], private: list[int], public: list[int], d
 
 
 def indel_masks(cells: DataFrame, variants: DataFrame, seed: int) -> DataFrame:
-    """(idx, mask map<string,string>) of each indel with a known allele in its pile-up."""
-    seen = cells.filter("allele is not null").groupBy("idx", "allele").agg(F.count(F.lit(1)).alias("n"))
-    private = seen.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("allele", "n"))).alias("_private"))
+    """(sample_id, idx, mask map<string,string>) of each indel with a known allele in a
+    person's pile-up."""
+    keys = person_keys(cells)
+    seen = cells.filter("allele is not null").groupBy(*keys, "allele").agg(F.count(F.lit(1)).alias("n"))
+    private = seen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("allele", "n"))).alias("_private"))
     joined = variants.select("idx", "alleles", "counts").join(private, "idx")
-    draws = F.transform(F.sequence(F.lit(1), F.size("alleles") * 2), lambda k: uniform(seed, "indel", F.col("idx"), k))
-    rows = joined.select("idx", "alleles", "counts", F.transform("alleles", lambda a: F.coalesce(F.try_element_at("_private", a), F.lit(0).cast("bigint"))).alias("private"), draws.alias("draws"))
+    draws = F.transform(F.sequence(F.lit(1), F.size("alleles") * 2), lambda k: uniform(seed, "indel", F.col("idx"), k, *[F.col(c) for c in keys[:-1]]))
+    rows = joined.select(*keys, "alleles", "counts", F.transform("alleles", lambda a: F.coalesce(F.try_element_at("_private", a), F.lit(0).cast("bigint"))).alias("private"), draws.alias("draws"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             maps = [drawn_bijection(list(a), list(p), list(c), list(d)) for a, p, c, d in zip(batch["alleles"], batch["private"], batch["counts"], batch["draws"])]
-            yield pd.DataFrame({"idx": batch["idx"], "sources": [list(m) for m in maps], "targets": [list(m.values()) for m in maps]})
+            yield pd.DataFrame({**{c: batch[c] for c in keys}, "sources": [list(m) for m in maps], "targets": [list(m.values()) for m in maps]})
 
-    pairs = rows.mapInPandas(build, "idx bigint, sources array<string>, targets array<string>")
-    return pairs.select("idx", F.map_from_arrays("sources", "targets").alias("mask"))
+    schema = ", ".join({"sample_id": "sample_id string", "idx": "idx bigint"}[c] for c in keys)
+    pairs = rows.mapInPandas(build, f"{schema}, sources array<string>, targets array<string>")
+    return pairs.select(*keys, F.map_from_arrays("sources", "targets").alias("mask"))
 
 
 def invert(mask: str = "mask"):

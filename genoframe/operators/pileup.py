@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoframe.functions.bases import BASES
 from genoframe.functions.cigar import aligned_blocks, expand, matching_allele
 from genoframe.operators.interval_join import covering_pairs
+from genoframe.operators.joins import person_keys
 
 #: Least share of a base in the pile-up to count as one of the person's.
 MIN_SHARE = 0.2
@@ -17,8 +18,9 @@ def cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
     """(ord, idx, seq_pos, unit, ...): one row per read and variant it covers.
 
     seq_pos is the read's base at the variant and unit that base's letter in the expanded
-    CIGAR; both are null within a deletion or skip. Other columns of ``variants`` stay."""
-    picked = reads.select("ord", "start_idx", "end_idx", "seq", "cigar")
+    CIGAR; both are null within a deletion or skip. Other columns of ``variants`` stay, and
+    so does the reads' ``sample_id``."""
+    picked = reads.select("ord", "start_idx", "end_idx", "seq", "cigar", *[c for c in reads.columns if c == "sample_id"])
     pairs = covering_pairs(picked, variants).withColumn("_off", (F.col("idx") - F.col("start_idx")).cast("int"))
     hit = F.filter(aligned_blocks(F.col("cigar")), lambda b: (F.col("_off") >= b["ref"]) & (F.col("_off") < b["ref"] + b["len"]))
     # Most reads are one match from end to end, and need no walk along their CIGAR.
@@ -53,10 +55,11 @@ def indel_cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def base_counts(snv: DataFrame) -> DataFrame:
-    """(idx, counts): known bases at each variant, in the order of ``BASES``. Variants that
-    no read shows a base at are left out. Counts are added up before the shuffle."""
+    """(sample_id, idx, counts): a person's known bases at each variant, in the order of
+    ``BASES``. Variants that no read shows a base at are left out. Counts are added up before
+    the shuffle."""
     sums = [F.count_if(F.col("allele") == b).alias(b) for b in BASES]
-    return snv.filter("allele is not null").groupBy("idx").agg(*sums).select("idx", F.array(*BASES).alias("counts"))
+    return snv.filter("allele is not null").groupBy(*person_keys(snv)).agg(*sums).select(*person_keys(snv), F.array(*BASES).alias("counts"))
 
 
 def call_genotypes(counts: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
@@ -67,4 +70,4 @@ def call_genotypes(counts: DataFrame, min_share: float = MIN_SHARE) -> DataFrame
     passing = F.transform(F.filter(numbered, lambda x: x["share"] >= min_share), lambda x: x["base"])
     called = counts.withColumn("_total", total).withColumn("_pass", passing)
     some = F.size("_pass").isin(1, 2)
-    return called.select("idx", "counts", F.when(some, F.element_at("_pass", 1)).alias("allele_a"), F.when(some, F.element_at("_pass", -1)).alias("allele_b"))
+    return called.select(*person_keys(counts), "counts", F.when(some, F.element_at("_pass", 1)).alias("allele_a"), F.when(some, F.element_at("_pass", -1)).alias("allele_b"))

@@ -9,7 +9,8 @@ from genoframe.functions import bases, cigar
 from genoframe.functions.info import format_value, info_counts, info_number
 from genoframe.operators import contigs as dictionary
 from genoframe.operators import differences, genotype_matrix, masking, pileup, position_sets, reads, variants
-from genoframe.operators.interval_join import covering_pairs, covering_reads
+from genoframe.operators.interval_join import covering_pairs
+from genoframe.operators.joins import join_null_safe, person_keys
 from genoframe.operators.packed_fields import ALLELES, packed_values
 from genoframe.sources import text_formats
 from genoframe.tables import ensure_checkpoint_dir, read_table
@@ -106,14 +107,14 @@ def pileup_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pileup_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Base counts at each variant."""
+    """Each person's base counts at each variant."""
     counts = pileup.base_counts(_snv_cells(spark, sf)[0])
-    return counts.select("idx", *[F.get("counts", F.lit(i)).alias(f"n_{b.lower()}") for i, b in enumerate(bases.BASES)])
+    return counts.select("sample_id", "idx", *[F.get("counts", F.lit(i)).alias(f"n_{b.lower()}") for i, b in enumerate(bases.BASES)])
 
 
 def genotype_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Genotypes called from the pile-ups."""
-    return pileup.call_genotypes(pileup.base_counts(_snv_cells(spark, sf)[0])).select("idx", "allele_a", "allele_b")
+    """Genotypes called from each person's pile-ups."""
+    return pileup.call_genotypes(pileup.base_counts(_snv_cells(spark, sf)[0])).select("sample_id", "idx", "allele_a", "allele_b")
 
 
 def allele_count_snvs(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,13 +180,13 @@ def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def genotype_masks(spark: SparkSession, sf: str) -> DataFrame:
-    """The mask drawn for each called variant."""
-    return _masked(spark, sf)[0].select("idx", "allele_a", "allele_b", "to_a", "to_b", "zygosity", "perm_a", "perm_b")
+    """The mask drawn for each called variant of a person."""
+    return _masked(spark, sf)[0].select("sample_id", "idx", "allele_a", "allele_b", "to_a", "to_b", "zygosity", "perm_a", "perm_b")
 
 
 def zygosity_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """How many masks change the genotype in which way."""
-    return _masked(spark, sf)[0].groupBy("zygosity").agg(F.count(F.lit(1)).alias("n"))
+    """How many of a person's masks change the genotype in which way."""
+    return _masked(spark, sf)[0].groupBy("sample_id", "zygosity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def masked_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +202,7 @@ def difference_records(spark: SparkSession, sf: str) -> DataFrame:
 def mask_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Difference records with their masks as bytes, and read back from them."""
     rows = masking.difference_table(_masked(spark, sf)[1]).withColumn("code_a", bases.permutation_code(F.col("perm_a")))
-    return rows.select("idx", "code_a", bases.code_permutation(F.col("code_a")).alias("perm_a"))
+    return rows.select("sample_id", "idx", "code_a", bases.code_permutation(F.col("code_a")).alias("perm_a"))
 
 
 def difference_slice(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,14 +211,15 @@ def difference_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def difference_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """First and last record, and the nearest ones to an index."""
+    """Each person's first and last record, and the nearest ones to an index."""
     return differences.bounds(masking.difference_table(_masked(spark, sf)[1]), _RANGE[0])
 
 
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of a masking run over single-base variants."""
+    """Counters of each person's masking run over single-base variants."""
     placed, (_, cells, snv) = _reads(spark, sf), _masked(spark, sf)
-    return masking.run_counters(placed, covering_reads(placed, snv), snv, cells)
+    covering = covering_pairs(placed.select("ord", "sample_id", "start_idx", "end_idx"), snv.select("idx")).select("ord", "sample_id").distinct()
+    return masking.run_counters(placed, covering, snv, cells)
 
 
 def _changes(cells: DataFrame, old: str, new: str) -> DataFrame:
@@ -237,7 +239,7 @@ def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
     placed, (_, cells, _) = _reads(spark, sf), _masked(spark, sf)
     given = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
     records = masking.difference_table(cells)
-    again = pileup.snv_cells(given, records.select("idx"))
+    again = pileup.snv_cells(given, records.select("idx").distinct())
     restored = masking.unmask_cells(again, records, masking.second_mask_reads(cells))
     return masking.rewrite_reads(given, _changes(restored, "allele", "restored")).select(*_READ)
 
@@ -256,7 +258,7 @@ def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
     placed = _reads(spark, sf)
     cells = pileup.indel_cells(placed, picked)
     masks = masking.indel_masks(cells, picked, SEED)
-    joined = cells.filter("allele is not null").join(masks, "idx")
+    joined = join_null_safe(cells.filter("allele is not null"), masks, person_keys(masks))
     changes = joined.select("ord", "seq_pos", "unit", F.col("allele").alias("old"), F.element_at("mask", F.col("allele")).alias("new"), "ref_allele")
     hit = changes.select("ord").distinct()
     return masking.rewrite_reads(placed.join(hit, "ord", "left_semi"), changes).select(*_READ)

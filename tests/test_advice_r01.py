@@ -77,3 +77,38 @@ def test_depth_and_frequency_against_plain_reading(spark):
     known = {r.call_id for r in reference._calls(spark, SF).select("call_id").collect()}
     want = {c for c in calls if c[0] in known and c[2] is not None and c[2] > 30}
     assert {(r.call_id, r.vcf_kind, r.depth, r.freq) for r in reference.passing_calls(spark, SF).collect()} == want
+
+
+def use_reads(monkeypatch, spark, given):
+    """Puts (sample_id, pos, cigar, seq) on the first contig and sites (pos, ref, alt, info) there."""
+    chrom = read_table(spark, SF, "contigs").orderBy("contig_id").first().contig_name
+    reads = [(i, f"q{i}", 2, chrom, pos, cg, seq, "I" * len(seq), s) for i, (s, pos, cg, seq) in enumerate(given["reads"])]
+    sites = [(i, chrom, pos, ref, alt, 50.0, "PASS", info, 1) for i, (pos, ref, alt, info) in enumerate(given["sites"])]
+    tables = {
+        "alignments": spark.createDataFrame(reads, "ord bigint, qname string, flag int, reference_name string, pos bigint, cigar string, seq string, qual string, sample_id string"),
+        "vcf_sites": spark.createDataFrame(sites, "rec_id bigint, vcf_chrom string, vcf_pos bigint, vcf_ref string, vcf_alt string, vcf_qual double, vcf_filter string, vcf_info string, loaded_at int"),
+    }
+    monkeypatch.setattr(reference, "read_table", lambda s, sf, name: tables[name] if name in tables else read_table(s, sf, name))
+
+
+PERSONS = {
+    "sites": [(3, "A", "C", "AC=100;AN=100")],
+    "reads": [("x", 1, "5M", "TTATT")] * 9 + [("y", 1, "5M", "TTCTT")] + [(None, 1, "5M", "TTGTT")] * 2 + [("x", 1, "5M", "TTATT"), ("z", 9, "3M", "AAA")],
+}
+
+
+def test_genotypes_are_each_persons_own(spark, monkeypatch):
+    use_reads(monkeypatch, spark, PERSONS)
+    calls = {(r.sample_id, r.idx, r.allele_a, r.allele_b) for r in reference.genotype_calls(spark, SF).collect()}
+    assert calls == {("x", 2, "A", "A"), ("y", 2, "C", "C"), (None, 2, "G", "G")}
+    assert {(r.sample_id, r.n_a, r.n_c, r.n_g) for r in reference.pileup_counts(spark, SF).collect()} == {("x", 10, 0, 0), ("y", 0, 1, 0), (None, 0, 0, 2)}
+
+
+def test_masks_records_and_counters_are_each_persons_own(spark, monkeypatch):
+    use_reads(monkeypatch, spark, PERSONS)
+    # The population has C alone: y keeps it, the others take it, those of unknown person too.
+    assert {r.seq for r in reference.masked_reads(spark, SF).filter("ord < 13").collect()} == {"TTCTT"}
+    assert {(r.sample_id, r.idx, r.perm_a) for r in reference.difference_records(spark, SF).collect()} == {("x", 2, "CTGA"), (None, 2, "ATCG")}
+    got = {r.sample_id: (r.n_reads, r.n_covering, r.n_variants, r.n_changed_cells, r.n_changed_reads, r.n_records) for r in reference.run_counters(spark, SF).collect()}
+    assert got == {"x": (10, 10, 1, 10, 10, 1), "y": (1, 1, 1, 0, 0, 0), None: (2, 2, 1, 2, 2, 1), "z": (1, 0, 1, 0, 0, 0)}
+    assert [r.seq for r in reference.unmasked_reads(spark, SF).orderBy("ord").collect()] == [seq for _, _, _, seq in PERSONS["reads"]]
