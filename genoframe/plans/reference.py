@@ -252,7 +252,7 @@ def indel_pileup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Reads with insertions and deletions exchanged by a drawn bijection, CIGAR and all."""
+    """All reads, with insertions and deletions exchanged by a drawn bijection, CIGAR and all."""
     _, indel = _tables(spark, sf)
     picked = indel.select("idx", F.col("alleles.seq").alias("alleles"), F.col("alleles.count").alias("counts"))
     placed = _reads(spark, sf)
@@ -260,8 +260,7 @@ def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
     masks = masking.indel_masks(cells, picked, SEED)
     joined = join_null_safe(cells.filter("allele is not null"), masks, person_keys(masks))
     changes = joined.select("ord", "seq_pos", "unit", F.col("allele").alias("old"), F.element_at("mask", F.col("allele")).alias("new"), "ref_allele")
-    hit = changes.select("ord").distinct()
-    return masking.rewrite_reads(placed.join(hit, "ord", "left_semi"), changes).select(*_READ)
+    return masking.rewrite_reads(placed, changes).select(*_READ)
 
 
 def ciphered_reads(spark: SparkSession, sf: str) -> DataFrame:

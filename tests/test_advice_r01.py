@@ -112,3 +112,8 @@ def test_masks_records_and_counters_are_each_persons_own(spark, monkeypatch):
     got = {r.sample_id: (r.n_reads, r.n_covering, r.n_variants, r.n_changed_cells, r.n_changed_reads, r.n_records) for r in reference.run_counters(spark, SF).collect()}
     assert got == {"x": (10, 10, 1, 10, 10, 1), "y": (1, 1, 1, 0, 0, 0), None: (2, 2, 1, 2, 2, 1), "z": (1, 0, 1, 0, 0, 0)}
     assert [r.seq for r in reference.unmasked_reads(spark, SF).orderBy("ord").collect()] == [seq for _, _, _, seq in PERSONS["reads"]]
+
+
+def test_indel_masked_reads_has_every_read(spark):
+    want = {r.ord for r in read_table(spark, SF, "alignments").select("ord").collect()}
+    assert sorted(r.ord for r in reference.indel_masked_reads(spark, SF).select("ord").collect()) == sorted(want)
