@@ -278,9 +278,10 @@ def secret_ciphered_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def packed_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Reads as two bits a base, and unpacked again."""
-    rows = _reads(spark, sf).withColumn("packed", bases.pack_bases(F.col("seq"))).filter("packed is not null")
-    return rows.select("ord", F.hex("packed").alias("packed"), bases.unpack_bases(F.col("packed"), F.length("seq")).alias("seq"))
+    """All reads as two bits a base, and unpacked again. Two bits can't hold an N or other
+    letters: such reads have null ``packed`` and their letters as they are."""
+    rows = _reads(spark, sf).withColumn("packed", bases.pack_bases(F.col("seq")))
+    return rows.select("ord", F.hex("packed").alias("packed"), F.coalesce(bases.unpack_bases(F.col("packed"), F.length("seq")), "seq").alias("seq"))
 
 
 def cigar_lengths(spark: SparkSession, sf: str) -> DataFrame:

@@ -117,3 +117,8 @@ def test_masks_records_and_counters_are_each_persons_own(spark, monkeypatch):
 def test_indel_masked_reads_has_every_read(spark):
     want = {r.ord for r in read_table(spark, SF, "alignments").select("ord").collect()}
     assert sorted(r.ord for r in reference.indel_masked_reads(spark, SF).select("ord").collect()) == sorted(want)
+
+
+def test_packed_reads_has_every_read(spark, monkeypatch):
+    use_reads(monkeypatch, spark, {"sites": [], "reads": [("x", 1, "4M", "ATGC"), ("x", 1, "4M", "ANGC")]})
+    assert sorted(tuple(r) for r in reference.packed_reads(spark, SF).select("ord", "seq", F.col("packed").isNull()).collect()) == [(0, "ATGC", False), (1, "ANGC", True)]
