@@ -63,7 +63,8 @@ def mask_cells(snv: DataFrame, masks: DataFrame, seed: int) -> DataFrame:
     Homozygotes made heterozygous take either mask by a draw per read; heterozygotes made
     homozygous take the second where the read shows the second base."""
     keys = person_keys(masks)
-    rows = join_null_safe(snv, masks.select(*keys, "zygosity", "perm_a", "perm_b", F.col("allele_b").alias("_second")), keys)
+    given = [c for c in ("ref_id",) if c in masks.columns]
+    rows = join_null_safe(snv, masks.select(*keys, *given, "zygosity", "perm_a", "perm_b", F.col("allele_b").alias("_second")), keys)
     drawn = uniform(seed, "beta", F.col("idx"), F.col("ord")) >= 0.5
     use_b = F.when(F.col("zygosity") == HOMO_TO_HETERO, drawn).when(F.col("zygosity") == HETERO_TO_HOMO, F.coalesce(F.col("allele") == F.col("_second"), F.lit(False))).otherwise(False)
     rows = rows.withColumn("use_b", use_b).drop("_second")
@@ -71,9 +72,10 @@ def mask_cells(snv: DataFrame, masks: DataFrame, seed: int) -> DataFrame:
 
 
 def difference_table(masked: DataFrame) -> DataFrame:
-    """(sample_id, idx, zygosity, perm_a, perm_b) of a person's variants at which some read
-    was changed."""
-    return masked.groupBy(*person_keys(masked), "zygosity", "perm_a", "perm_b").agg(F.max(F.col("allele") != F.col("masked")).alias("_changed")).filter("_changed").drop("_changed")
+    """(sample_id, idx, ref_id, zygosity, perm_a, perm_b) of a person's variants at which some
+    read was changed; ``ref_id`` if the cells have it."""
+    given = [c for c in ("ref_id",) if c in masked.columns]
+    return masked.groupBy(*person_keys(masked), *given, "zygosity", "perm_a", "perm_b").agg(F.max(F.col("allele") != F.col("masked")).alias("_changed")).filter("_changed").drop("_changed")
 
 
 def second_mask_reads(masked: DataFrame) -> DataFrame:

@@ -12,14 +12,11 @@ from genoframe.operators import differences, genotype_matrix, masking, pileup, p
 from genoframe.operators.interval_join import covering_pairs
 from genoframe.operators.joins import join_null_safe, person_keys
 from genoframe.operators.packed_fields import ALLELES, packed_values
+from genoframe.plans.reference_sql import ORACLE
+from genoframe.plans.settings import RANDOM_SHARE, RANGE, SEED
 from genoframe.sources import text_formats
 from genoframe.tables import ensure_checkpoint_dir, read_table
 
-#: Seed of all draws, and share of random variants.
-SEED, RANDOM_SHARE = 7, 0.000001
-#: Bases of the whole dictionary, from which the ranges of the range queries are cut.
-_RANGE = (200_000_000, 900_000_000)
-
 
 def _contigs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "contigs")
@@ -69,17 +66,17 @@ def scan_mapped(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_range(spark: SparkSession, sf: str) -> DataFrame:
     """Mapped reads that overlap a range."""
-    return reads.scan_reads(_reads(spark, sf), *_RANGE).select(*_SCANNED)
+    return reads.scan_reads(_reads(spark, sf), *RANGE).select(*_SCANNED)
 
 
 def scan_unmapped(spark: SparkSession, sf: str) -> DataFrame:
     """Unmapped reads alone."""
-    return reads.scan_reads(_reads(spark, sf), *_RANGE, unmapped_only=True).select(*_SCANNED)
+    return reads.scan_reads(_reads(spark, sf), *RANGE, unmapped_only=True).select(*_SCANNED)
 
 
 def scan_range_unmapped(spark: SparkSession, sf: str) -> DataFrame:
     """Reads that overlap a range, and all unmapped ones."""
-    return reads.scan_reads(_reads(spark, sf), *_RANGE, include_unmapped=True, end_inclusive=True).select(*_SCANNED)
+    return reads.scan_reads(_reads(spark, sf), *RANGE, include_unmapped=True, end_inclusive=True).select(*_SCANNED)
 
 
 def covering_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +171,7 @@ def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     # Cells are counted, masked and looked up again; the interval join runs once.
     ensure_checkpoint_dir(spark)
     cells = cells.checkpoint()
-    calls = pileup.call_genotypes(pileup.base_counts(cells)).join(snv.select("idx", F.col("counts").alias("public")), "idx")
+    calls = pileup.call_genotypes(pileup.base_counts(cells)).join(snv.select("idx", "ref_id", F.col("counts").alias("public")), "idx")
     masks = masking.masks(masking.draw_public(calls, SEED))
     return masks, masking.mask_cells(cells, masks, SEED), snv
 
@@ -207,12 +204,12 @@ def mask_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 def difference_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Difference records of a range alone."""
-    return differences.slice_range(masking.difference_table(_masked(spark, sf)[1]), *_RANGE)
+    return differences.slice_range(masking.difference_table(_masked(spark, sf)[1]), *RANGE)
 
 
 def difference_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Each person's first and last record, and the nearest ones to an index."""
-    return differences.bounds(masking.difference_table(_masked(spark, sf)[1]), _RANGE[0])
+    return differences.bounds(masking.difference_table(_masked(spark, sf)[1]), RANGE[0])
 
 
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,13 +232,15 @@ def masked_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Masked reads restored from difference records and second-mask rows: the originals."""
-    placed, (_, cells, _) = _reads(spark, sf), _masked(spark, sf)
+    """Masked reads restored from difference records and second-mask rows: the originals, and
+    whether masking had changed the read."""
+    placed, (_, cells, _) = _reads(spark, sf).withColumn("_original", F.col("seq")), _masked(spark, sf)
     given = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
+    given = given.withColumn("was_masked", F.col("seq") != F.col("_original"))
     records = masking.difference_table(cells)
     again = pileup.snv_cells(given, records.select("idx").distinct())
     restored = masking.unmask_cells(again, records, masking.second_mask_reads(cells))
-    return masking.rewrite_reads(given, _changes(restored, "allele", "restored")).select(*_READ)
+    return masking.rewrite_reads(given, _changes(restored, "allele", "restored")).select(*_READ, "was_masked")
 
 
 def indel_pileup(spark: SparkSession, sf: str) -> DataFrame:
@@ -379,178 +378,4 @@ QUERIES = {
     )
 }
 
-_SITE = """
-  select rec_id, r.c as vcf_chrom, r.p as vcf_pos, upper(r.r) as ref, upper(r.a) as alt, string_split(upper(r.a), ',') as alts, r.i as info from (
-    select rec_id, arg_max(s, (loaded_at, s)) as r from (
-      select rec_id, loaded_at, struct_pack(c := vcf_chrom, p := vcf_pos, r := vcf_ref, a := vcf_alt, q := vcf_qual, f := vcf_filter, i := vcf_info) as s from {table}) group by rec_id)"""
-
-_PRELUDE = rf"""
-with ctg as (select contig_id, contig_name, regexp_replace(lower(trim(contig_name)), '^chr', '') as k, start_idx as cs, contig_length from contigs),
-aln as (select * from alignments qualify row_number() over (partition by ord order by qname) = 1),
-rd as (
-  select ord, qname, cigar, seq, qual, sample_id, contig_name, cs is not null and (flag & 4) = 0 and coalesce(pos, 0) > 0 as mapped,
-    case when (flag & 4) = 0 and pos > 0 then cs + pos - 1 end as start_idx,
-    case when (flag & 4) = 0 and pos > 0 then cast(cs + pos - 2 + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: cast(x as bigint))), 0) as bigint) end as end_idx
-  from aln left join ctg on regexp_replace(lower(trim(reference_name)), '^chr', '') = k),
-site_rows as ({_SITE.format(table="vcf_sites")}),
-mirror_rows as ({_SITE.format(table="vcf_sites_mirror")}),
-site as (
-  select s.*, contig_name, cs + vcf_pos - 1 as idx,
-    case when regexp_matches(info, '(^|;)AC=[0-9]+(,[0-9]+)*(;|$)') then list_transform(string_split(regexp_extract(info, '(^|;)AC=([^;]*)', 2), ','), lambda x: cast(x as bigint)) end as ac,
-    case when regexp_matches(info, '(^|;)AN=[0-9]+(;|$)') then cast(regexp_extract(info, '(^|;)AN=([^;]*)', 2) as bigint) end as an
-  from site_rows s join ctg on regexp_replace(lower(trim(vcf_chrom)), '^chr', '') = k),
-listed as (select *, list_concat([ref], list_filter(alts, lambda a: a <> '.')) as al from site),
-kinds as (
-  select *, list_aggregate(list_transform(al, lambda a: regexp_full_match(a, '[ATGC]')), 'bool_and') as snv,
-    list_aggregate(list_transform(al, lambda a: regexp_full_match(a, '[ATGC]*')), 'bool_and') and list_aggregate(list_transform(al, lambda a: length(a) >= 2), 'bool_or') as indel,
-    list_aggregate(list_transform(al, lambda a: left(a, 1) = left(ref, 1)), 'bool_and') as same_first from listed),
-judged as (
-  select *, case when al is null or len(al) < 2 then 'incomplete' when not (snv or indel) then 'unknown' when not snv and not same_first then 'first_base'
-    when ac is null or an is null or len(ac) <> len(al) - 1 then 'no_info' when list_sum(ac) = 0 then 'no_alternative' when an - list_sum(ac) < 0 then 'negative'
-    when snv then 'snv' else 'indel' end as status from kinds),
-usable as (select *, list_concat([cast(an - list_sum(ac) as bigint)], ac) as counts from judged where status in ('snv', 'indel') and idx is not null qualify row_number() over (partition by idx order by rec_id) = 1),
-snvs as (
-  select idx, cast(instr('ATGC', ref) - 1 as int) as ref_id,
-    coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'A'), 0)), 0) as n_a, coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'T'), 0)), 0) as n_t,
-    coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'G'), 0)), 0) as n_g, coalesce(list_extract(counts, len(al) + 1 - nullif(list_position(list_reverse(al), 'C'), 0)), 0) as n_c
-  from usable where status = 'snv'),
-ops as (select ord, start_idx, end_idx, seq, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) as o, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), 1) as i from rd where mapped),
-opn as (select *, cast(regexp_extract(o, '[0-9]+') as bigint) as n, right(o, 1) as op from ops),
-blk as (
-  select *, coalesce(sum(case when op in ('M', 'D', 'N', '=', 'X') then n else 0 end) over w, 0) as roff, coalesce(sum(case when op in ('M', 'I', 'S', '=', 'X') then n else 0 end) over w, 0) as soff, coalesce(sum(n) over w, 0) as uoff
-  from opn window w as (partition by ord order by i rows between unbounded preceding and 1 preceding)),
-covers as (select r.ord, v.idx, r.start_idx, r.seq, r.sample_id from rd r join (select distinct idx from site) v on v.idx between r.start_idx and r.end_idx where r.mapped),
-cell as (
-  select r.ord, v.idx, v.n_a, v.n_t, v.n_g, v.n_c, cast(b.soff + v.idx - r.start_idx - b.roff as int) as seq_pos, cast(b.uoff + v.idx - r.start_idx - b.roff as int) as unit,
-    nullif(regexp_extract(substr(r.seq, cast(b.soff + v.idx - r.start_idx - b.roff + 1 as bigint), 1), '[ATGC]'), '') as allele
-  from rd r join snvs v on v.idx between r.start_idx and r.end_idx
-    left join blk b on b.ord = r.ord and b.op in ('M', '=', 'X') and v.idx - r.start_idx >= b.roff and v.idx - r.start_idx < b.roff + b.n
-  where r.mapped),
-counted as (
-  select idx, count(*) filter (allele = 'A') as n_a, count(*) filter (allele = 'T') as n_t, count(*) filter (allele = 'G') as n_g, count(*) filter (allele = 'C') as n_c from cell where allele is not null group by idx),
-passed as (
-  select idx, list_filter(['A', 'T', 'G', 'C'], lambda b, i: [n_a, n_t, n_g, n_c][i] / cast(n_a + n_t + n_g + n_c as double) >= 0.2) as p from counted),
-called as (select idx, case when len(p) in (1, 2) then p[1] end as allele_a, case when len(p) in (1, 2) then p[-1] end as allele_b from passed),
-draws as (
-  select c.idx, allele_a, allele_b, n_a, n_t, n_g, n_c, n_a + n_t + n_g + n_c as t,
-    cast('0x' || substr(md5(concat('{SEED}:a:', c.idx)), 1, 8) as bigint) / 4294967296.0 as ua, cast('0x' || substr(md5(concat('{SEED}:b:', c.idx)), 1, 8) as bigint) / 4294967296.0 as ub
-  from called c join snvs v on c.idx = v.idx),
-drawn as (
-  select *, case when n_a > ua * t then 'A' when n_a + n_t > ua * t then 'T' when n_a + n_t + n_g > ua * t then 'G' else 'C' end as to_a,
-    case when n_a > ub * t then 'A' when n_a + n_t > ub * t then 'T' when n_a + n_t + n_g > ub * t then 'G' else 'C' end as to_b from draws),
-zyg as (
-  select *, case when allele_a = allele_b then case when to_a = to_b then 0 else 1 end when to_a <> to_b then 2 else 3 end as zygosity from drawn where allele_a is not null),
-mask as (
-  select idx, allele_a, allele_b, to_a, to_b, zygosity,
-    case when zygosity = 2 then case
-        when (allele_a = to_a and allele_b = to_b) or (allele_a = to_b and allele_b = to_a) then 'ATGC'
-        when allele_a = to_a then translate('ATGC', allele_b || to_b, to_b || allele_b) when allele_a = to_b then translate('ATGC', allele_b || to_a, to_a || allele_b)
-        when allele_b = to_a then translate('ATGC', allele_a || to_b, to_b || allele_a) when allele_b = to_b then translate('ATGC', allele_a || to_a, to_a || allele_a)
-        else translate('ATGC', allele_a || to_a || allele_b || to_b, to_a || allele_a || to_b || allele_b) end
-      else translate('ATGC', allele_a || to_a, to_a || allele_a) end as perm_a,
-    case zygosity when 1 then translate('ATGC', allele_a || to_b, to_b || allele_a) when 3 then translate('ATGC', allele_b || to_a, to_a || allele_b) end as perm_2 from zyg),
-masks as (select * exclude (perm_2), coalesce(perm_2, perm_a) as perm_b from mask),
-chosen as (
-  select c.ord, c.idx, c.seq_pos, c.allele, m.zygosity, m.perm_a, m.perm_b,
-    case m.zygosity when 1 then cast('0x' || substr(md5(concat('{SEED}:beta:', c.idx, ':', c.ord)), 1, 8) as bigint) / 4294967296.0 >= 0.5 when 3 then coalesce(c.allele = m.allele_b, false) else false end as use_b
-  from cell c join masks m on c.idx = m.idx),
-mcell as (select *, translate(allele, 'ATGC', case when use_b then perm_b else perm_a end) as masked from chosen),
-diff as (select idx, zygosity, perm_a, perm_b from mcell group by all having bool_or(allele <> masked)),
-edits as (select ord, list(struct_pack(p := seq_pos, m := masked) order by seq_pos) as e from mcell where allele <> masked group by ord),
-calls as (
-  select c.*, contig_name, cs + vcf_pos - 1 as idx,
-    try_cast(list_extract(string_split(genotype, ':'), nullif(list_position(string_split(vcf_format, ':'), 'DP'), 0)) as int) as depth,
-    try_cast(list_extract(string_split(genotype, ':'), nullif(list_position(string_split(vcf_format, ':'), 'VAF'), 0)) as double) as freq,
-    list_extract(string_split(genotype, ':'), nullif(list_position(string_split(vcf_format, ':'), 'GT'), 0)) as gt
-  from (select distinct call_id, sample_id, vcf_kind, vcf_chrom, vcf_pos, vcf_ref, vcf_alt, vcf_qual, vcf_filter, vcf_format, genotype from vcf_calls) c join ctg on regexp_replace(lower(trim(vcf_chrom)), '^chr', '') = k),
-member as (
-  select idx, bool_or(vcf_kind = 'population') as in_population, bool_or(vcf_kind = 'personal') as in_personal, bool_or(vcf_kind = 'masked') as in_masked
-  from calls where idx is not null and vcf_kind in ('population', 'personal', 'masked') group by idx),
-classed as (
-  select *, case when in_population and in_personal and in_masked then 'not_masked' when in_population and in_personal then 'masked' when in_population and in_masked then 'introduced'
-    when in_personal and in_masked then 'not_covered' when in_population then 'not_found' when in_personal then 'hidden' else 'revealed' end as class from member),
-bins as (
-  select vcf_kind, (freq >= 0.1)::int + (freq >= 0.2)::int + (freq >= 0.3)::int + (freq >= 0.4)::int + (freq >= 0.5)::int + (freq >= 0.6)::int + (freq >= 0.7)::int + (freq >= 0.8)::int + (freq >= 0.9)::int as bin, count(*) as n
-  from calls where freq between 0 and 1 group by 1, 2)
-"""
-
-_SIZES = {"union": "true", "population": "in_population", "personal": "in_personal", "masked_set": "in_masked", "population_personal": "in_population and in_personal", "personal_masked": "in_personal and in_masked", "population_masked": "in_population and in_masked"}
-_SIZES |= {c: f"class = '{c}'" for c in position_sets.CLASSES.values()}
-
-_SCAN = "select ord, qname, mapped, contig_name, start_idx, end_idx from rd where "
-_ONE_CALL = "select idx, min((vcf_alt, freq)) as c from calls where vcf_kind = '{0}' group by idx"
-
-ORACLE = {
-    name: _PRELUDE + sql
-    for name, sql in {
-        "contig_starts": "select contig_id, contig_name, contig_length, cast(coalesce(sum(contig_length) over (order by contig_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start_idx from ctg",
-        "site_indices": "select rec_id, contig_name, vcf_pos, idx from site",
-        "index_positions": "select s.rec_id, s.idx, c.contig_name, s.idx - c.cs + 1 as ref_pos from site s join ctg c on s.idx >= c.cs and s.idx < c.cs + c.contig_length",
-        "scan_mapped": _SCAN + "mapped",
-        "scan_range": _SCAN + f"mapped and end_idx >= {_RANGE[0]} and start_idx < {_RANGE[1]}",
-        "scan_unmapped": _SCAN + "not mapped",
-        "scan_range_unmapped": _SCAN + f"not mapped or end_idx >= {_RANGE[0]} and start_idx <= {_RANGE[1]}",
-        "covering_counts": "select idx, count(*) as n_reads from covers group by idx",
-        "covering_read_count": "select sample_id, count(distinct ord) as n_covering from covers group by sample_id",
-        "pileup_cells": "select ord, idx, seq_pos, unit, allele from cell",
-        "pileup_counts": "select idx, n_a, n_t, n_g, n_c from counted",
-        "genotype_calls": "select idx, allele_a, allele_b from called",
-        "allele_count_snvs": "select idx, ref_id, n_a, n_t, n_g, n_c from snvs",
-        "allele_count_indels": "select idx, cast(unnest(range(len(al))) as int) as allele_no, unnest(al) as seq, unnest(counts) as n from usable where status = 'indel'",
-        "allele_count_counters": """select count(*) as n_rows, count(*) filter (status = 'incomplete') as n_incomplete, count(*) filter (status = 'unknown') as n_unknown, cast(0 as bigint) as n_skipped,
-  count(*) filter (status = 'first_base') as n_first_base, count(*) filter (status = 'no_info') as n_no_info, count(*) filter (status = 'no_alternative') as n_no_alternative, count(*) filter (status = 'negative') as n_negative,
-  (select count(*) from usable where status = 'snv') as n_snv, (select count(*) from usable where status = 'indel') as n_indel,
-  count(*) filter (status in ('snv', 'indel') and idx is not null) - (select count(*) from usable) as n_same_index from judged""",
-        "allele_count_text": """select 0 as block, idx, concat_ws(chr(9), idx, ref_id, concat_ws(',', n_a, n_t, n_g, n_c)) as line from snvs
-union all select 1, idx, concat(idx, chr(9), list_aggregate(list_transform(al, lambda a, i: concat(counts[i], ':', a)), 'string_agg', ',')) from usable where status = 'indel'""",
-        "reference_mismatches": """select s.rec_id, s.idx, left(s.ref, 1) as base from site s join
-  (select cs + vcf_pos - 1 as idx, list(distinct left(ref, 1)) as b from mirror_rows join ctg on regexp_replace(lower(trim(vcf_chrom)), '^chr', '') = k group by 1) o on s.idx = o.idx where not list_contains(o.b, left(s.ref, 1))""",
-        "merged_variants": f""", extent as (select min(cs) as a, max(cs + contig_length) - 1 as b from ctg),
-known as (
-  select idx, true as is_snv, substr('ATGC', ref_id + 1, 1) as ref_allele, 'A,T,G,C' as alleles, concat_ws(',', n_a, n_t, n_g, n_c) as counts from snvs
-  union all select idx, false, ref, array_to_string(al, ','), array_to_string(counts, ',') from usable where status = 'indel'),
-drawn_idx as (select distinct cast(floor(cast('0x' || substr(md5(concat('{SEED}:random:', i)), 1, 8) as bigint) / 4294967296.0 * (b - a)) as bigint) + a as idx from extent, range(0, cast(floor({RANDOM_SHARE} * (b - a)) as bigint)) r(i))
-select * from known union all select idx, true, 'A', 'A,T,G,C', '3,3,2,2' from drawn_idx where idx not in (select idx from known)""",
-        "kept_variants": """, spans as (
-  select c.contig_name, u.idx, cast(length(u.ref) as bigint) as length from (select idx, ref from usable) u join ctg c on u.idx >= c.cs and u.idx < c.cs + c.contig_length),
-lists as (select contig_name, list(struct_pack(s := idx, free := idx + length, kept := [struct_pack(idx := idx, length := length)]) order by idx) as l from spans group by contig_name),
-folded as (
-  select contig_name, list_reduce(l, lambda acc, x: case when x.s >= acc.free then struct_pack(s := x.s, free := x.free, kept := list_concat(acc.kept, x.kept)) else acc end).kept as kept from lists),
-each as (select contig_name, unnest(kept) as v from folded)
-select contig_name, v.idx as idx, v.length as length from each""",
-        "overlap_clusters": """, spans as (select idx, max(length(ref)) as length from site where idx is not null group by idx),
-marked as (select *, coalesce(idx >= max(idx + length) over (order by idx rows between unbounded preceding and 1 preceding), true) as b from spans)
-select idx, length, max(case when b then idx end) over (order by idx) as cluster from marked""",
-        "genotype_masks": "select idx, allele_a, allele_b, to_a, to_b, zygosity, perm_a, perm_b from masks",
-        "zygosity_changes": "select zygosity, count(*) as n from masks group by zygosity",
-        "masked_cells": "select ord, idx, allele, use_b, masked from mcell",
-        "difference_records": "select * from diff",
-        "mask_codes": "select idx, cast(list_sum(list_transform([0, 1, 2, 3], lambda i: (instr('ATGC', substr(perm_a, i + 1, 1)) - 1) * (1 << (2 * i)))) as int) as code_a, perm_a from diff",
-        "difference_slice": f"select * from diff where idx between {_RANGE[0]} and {_RANGE[1]}",
-        "difference_bounds": f"select min(idx) as first_idx, max(idx) as last_idx, min(idx) filter (idx >= {_RANGE[0]}) as at_or_after, max(idx) filter (idx <= {_RANGE[0]}) as at_or_before from diff",
-        "run_counters": """select (select count(*) from rd) as n_reads, (select count(distinct r.ord) from rd r join snvs v on v.idx between r.start_idx and r.end_idx where r.mapped) as n_covering,
-  (select count(*) from snvs) as n_variants, count(*) as n_changed_cells, count(distinct ord) as n_changed_reads, count(distinct idx) as n_records from mcell where allele <> masked""",
-        "masked_reads": """select r.ord, case when e is null then r.seq else list_reduce(list_prepend(r.seq, list_transform(e, lambda x: x.p || ':' || x.m)), lambda s, x: left(s, cast(string_split(x, ':')[1] as bigint)) || string_split(x, ':')[2] || substr(s, cast(string_split(x, ':')[1] as bigint) + 2)) end as seq,
-  r.cigar, r.qual from rd r left join edits d on r.ord = d.ord""",
-        "unmasked_reads": "select ord, seq, cigar, qual from rd",
-        "ciphered_reads": """select ord, list_aggregate(list_transform(string_split(seq, ''), lambda b, i: case when b = 'N' then b else
-  substr('ATGC', xor(instr('ATGC', b) - 1, (cast('0x' || substr(md5('s:' || qname), cast((i - 1) // 2 % 32 + 1 as bigint), 1) as bigint) >> (case when i % 2 = 1 then 2 else 0 end)) & 3) + 1, 1) end), 'string_agg', '') as seq
-from rd where not mapped and regexp_full_match(seq, '[ATGCN]+')""",
-        "packed_reads": """select ord, list_aggregate(list_transform(range(0, (length(seq) + 3) // 4 * 2), lambda i: substr('0123456789ABCDEF', (coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 1, 1)), 0), 1) - 1) * 4
-  + coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 2, 1)), 0), 1), 1)), 'string_agg', '') as packed, seq from rd where regexp_full_match(seq, '[ATGC]+')""",
-        "cigar_lengths": """select ord, list_aggregate(list_transform(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), lambda x: repeat(right(x, 1), cast(regexp_extract(x, '[0-9]+') as int))), 'string_agg', '') as expanded, cigar as shrunk,
-  cast(end_idx - start_idx + 1 as int) as on_reference, cast(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MIS=X]', 1), lambda x: cast(x as int))) as int) as on_read from rd where mapped""",
-        "sam_text": "select ord, concat_ws(chr(9), coalesce(qname, '*'), coalesce(flag, 0), coalesce(reference_name, '*'), coalesce(pos, 0), coalesce(mapq, 0), coalesce(cigar, '*'), coalesce(rnext, '*'), coalesce(pnext, 0), coalesce(tlen, 0), coalesce(seq, '*'), coalesce(qual, '*')) as line from aln",
-        "passing_calls": "select call_id, idx, vcf_kind, depth, freq from calls where vcf_filter = 'PASS' and depth > 30 and vcf_qual > 30",
-        "position_classes": "select idx, in_population, in_personal, in_masked, class from classed",
-        "position_set_sizes": " union all ".join(f"select '{n}' as name, count(*) filter ({c}) as n, count(*) filter ({c}) * 100.0::double / nullif(count(*), 0) as percent from classed" for n, c in _SIZES.items()),
-        "frequency_histogram": "select vcf_kind, bin, n from bins",
-        "masked_bin_shares": "select bin, coalesce(sum(n) filter (vcf_kind = 'masked'), 0)::bigint as n_part, coalesce(sum(n) filter (vcf_kind in ('masked', 'personal')), 0)::bigint as n_whole, n_part / nullif(n_whole, 0)::double as share from bins group by bin",
-        "altered_calls": f"""select a.idx, a.c[1] as alt_personal, b.c[1] as alt_masked, a.c[2] as freq_personal, b.c[2] as freq_masked, (a.c[1] is distinct from b.c[1] or a.c[2] is distinct from b.c[2]) as altered
-from ({_ONE_CALL.format("personal")}) a join ({_ONE_CALL.format("masked")}) b on a.idx = b.idx""",
-        "personal_population_calls": "select call_id, idx from calls where vcf_kind = 'personal' and idx in (select idx from site)",
-        "split_sites": """select concat_ws(':', contig_name, vcf_pos, ref, a) as site_id, cast(min(i) as int) as alt_no from (select *, unnest(alts) as a, generate_subscripts(alts, 1) as i from site) where length(ref) = 1 and regexp_full_match(a, '[ATGC]') group by 1""",
-        "sample_dosages": """select concat_ws(':', contig_name, vcf_pos, vcf_ref, vcf_alt) as site_id, sample_id, max(len(list_filter(regexp_extract_all(gt, '[0-9]+'), lambda x: x = '1')))::int as dosage
-from calls where regexp_full_match(vcf_alt, '[ATGC]') and gt is not null and sample_id is not null group by 1, 2""",
-    }.items()
-}
+__all__ = ["ORACLE", "QUERIES"]
