@@ -13,7 +13,7 @@ from genoframe.operators.interval_join import covering_pairs
 from genoframe.operators.joins import join_null_safe, person_keys
 from genoframe.operators.packed_fields import ALLELES, packed_values
 from genoframe.plans.reference_sql import ORACLE
-from genoframe.plans.settings import RANDOM_SHARE, RANGE, SEED
+from genoframe.plans.settings import NAMED_RANGE, RANDOM_SHARE, RANGE, RECORD_RANGE, SEED
 from genoframe.sources import text_formats
 from genoframe.tables import ensure_checkpoint_dir, read_table
 
@@ -59,24 +59,37 @@ def index_positions(spark: SparkSession, sf: str) -> DataFrame:
 _SCANNED = ("ord", "qname", "mapped", "contig_name", "start_idx", "end_idx")
 
 
+def _scan(spark: SparkSession, sf: str, *bounds: int, **options: bool) -> DataFrame:
+    return reads.scan_alignments(read_table(spark, sf, "alignments"), _contigs(spark, sf), *bounds, **options)
+
+
+def _named(spark: SparkSession, sf: str, text: str) -> tuple[int, int]:
+    return dictionary.resolve_range(_contigs(spark, sf), *dictionary.parse_range(text))
+
+
 def scan_mapped(spark: SparkSession, sf: str) -> DataFrame:
     """All mapped reads, placed."""
-    return reads.scan_reads(_reads(spark, sf)).select(*_SCANNED)
+    return _scan(spark, sf).select(*_SCANNED)
 
 
 def scan_range(spark: SparkSession, sf: str) -> DataFrame:
     """Mapped reads that overlap a range."""
-    return reads.scan_reads(_reads(spark, sf), *RANGE).select(*_SCANNED)
+    return _scan(spark, sf, *RANGE).select(*_SCANNED)
+
+
+def scan_named_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Mapped reads that overlap a range given by contig names, both ends within it."""
+    return _scan(spark, sf, *_named(spark, sf, NAMED_RANGE), end_inclusive=True).select(*_SCANNED)
 
 
 def scan_unmapped(spark: SparkSession, sf: str) -> DataFrame:
     """Unmapped reads alone."""
-    return reads.scan_reads(_reads(spark, sf), *RANGE, unmapped_only=True).select(*_SCANNED)
+    return _scan(spark, sf, *RANGE, unmapped_only=True).select(*_SCANNED)
 
 
 def scan_range_unmapped(spark: SparkSession, sf: str) -> DataFrame:
     """Reads that overlap a range, and all unmapped ones."""
-    return reads.scan_reads(_reads(spark, sf), *RANGE, include_unmapped=True, end_inclusive=True).select(*_SCANNED)
+    return _scan(spark, sf, *RANGE, include_unmapped=True, end_inclusive=True).select(*_SCANNED)
 
 
 def covering_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,13 +216,13 @@ def mask_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def difference_slice(spark: SparkSession, sf: str) -> DataFrame:
-    """Difference records of a range alone."""
-    return differences.slice_range(masking.difference_table(_masked(spark, sf)[1]), *RANGE)
+    """Difference records of a range, given by names, alone."""
+    return differences.slice_range(masking.difference_table(_masked(spark, sf)[1]), *_named(spark, sf, RECORD_RANGE))
 
 
 def difference_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Each person's first and last record, and the nearest ones to an index."""
-    return differences.bounds(masking.difference_table(_masked(spark, sf)[1]), RANGE[0])
+    return differences.bounds(masking.difference_table(_masked(spark, sf)[1]), _named(spark, sf, RECORD_RANGE)[1])
 
 
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,17 +275,21 @@ def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
     return masking.rewrite_reads(placed, changes).select(*_READ)
 
 
+_PLAIN = "^[ATGCN]*$"
+
+
 def ciphered_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Unmapped reads under the stream cipher, each with a key of its own from its name."""
-    unmapped = reads.scan_reads(_reads(spark, sf), unmapped_only=True).filter("seq rlike '^[ATGCN]+$'")
-    return unmapped.select("ord", bases.stream_cipher(F.col("seq"), F.unhex(F.md5(F.concat(F.lit("s:"), "qname")))).alias("seq"))
+    """All unmapped reads under the stream cipher, each with a key of its own from its name;
+    null where a read holds other letters than the bases and N."""
+    key = F.unhex(F.md5(F.concat(F.lit("s:"), "qname")))
+    return _scan(spark, sf, unmapped_only=True).select("ord", F.when(F.col("seq").rlike(_PLAIN), bases.stream_cipher(F.col("seq"), key)).alias("seq"))
 
 
 def secret_ciphered_reads(spark: SparkSession, sf: str) -> DataFrame:
     """The same with 64-byte keys, and whether deciphering gives the read again."""
-    unmapped = reads.scan_reads(_reads(spark, sf), unmapped_only=True).filter("seq rlike '^[ATGCN]+$'")
     key = bases.read_key(F.unhex(F.lit("ff" * 16)), F.col("qname"))
-    once = unmapped.withColumn("_key", key).withColumn("cipher", bases.stream_cipher(F.col("seq"), F.col("_key")))
+    cipher = F.when(F.col("seq").rlike(_PLAIN), bases.stream_cipher(F.col("seq"), F.col("_key")))
+    once = _scan(spark, sf, unmapped_only=True).withColumn("_key", key).withColumn("cipher", cipher)
     return once.select("ord", "cipher", (bases.stream_cipher(F.col("cipher"), F.col("_key")) == F.col("seq")).alias("restored"))
 
 
@@ -285,7 +302,7 @@ def packed_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def cigar_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Expanded CIGARs of all mapped reads, shrunk again, and the bases they use."""
-    rows = reads.scan_reads(_reads(spark, sf)).select("ord", "cigar", cigar.expand(F.col("cigar")).alias("expanded"))
+    rows = _scan(spark, sf).select("ord", "cigar", cigar.expand(F.col("cigar")).alias("expanded"))
     return rows.select("ord", "expanded", cigar.shrink(F.col("expanded")).alias("shrunk"), cigar.reference_length(F.col("cigar")).alias("on_reference"), cigar.read_length(F.col("cigar")).alias("on_read"))
 
 
@@ -370,7 +387,7 @@ def sample_components(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        contig_starts, site_indices, index_positions, scan_mapped, scan_range, scan_unmapped, scan_range_unmapped, covering_counts, covering_read_count, pileup_cells, pileup_counts,
+        contig_starts, site_indices, index_positions, scan_mapped, scan_range, scan_unmapped, scan_range_unmapped, covering_counts, covering_read_count, pileup_cells, pileup_counts, scan_named_range,
         genotype_calls, allele_count_snvs, allele_count_indels, allele_count_counters, allele_count_text, reference_mismatches, merged_variants, kept_variants, overlap_clusters,
         genotype_masks, zygosity_changes, masked_cells, difference_records, mask_codes, difference_slice, difference_bounds, run_counters, masked_reads, unmasked_reads, indel_pileup,
         indel_masked_reads, ciphered_reads, secret_ciphered_reads, packed_reads, cigar_lengths, sam_text, passing_calls, position_classes, position_set_sizes, frequency_histogram,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from genoframe.operators import position_sets
-from genoframe.plans.settings import RANDOM_SHARE, RANGE, SEED
+from genoframe.plans.settings import NAMED_RANGE, RANDOM_SHARE, RANGE, RECORD_RANGE, SEED
 
 _SITE = """
   select rec_id, r.c as vcf_chrom, r.p as vcf_pos, upper(r.r) as ref, upper(r.a) as alt, string_split(upper(r.a), ',') as alts, r.i as info from (
@@ -114,6 +114,15 @@ bins as (
 _SIZES = {"union": "true", "population": "in_population", "personal": "in_personal", "masked_set": "in_masked", "population_personal": "in_population and in_personal", "personal_masked": "in_personal and in_masked", "population_masked": "in_population and in_masked"}
 _SIZES |= {c: f"class = '{c}'" for c in position_sets.CLASSES.values()}
 
+
+
+def _named(text: str) -> list[str]:
+    """First and last index of ``name:pos:name:pos``."""
+    name, pos, to, upto = text.split(":")
+    return [f"(select cs + {p} - 1 from ctg where contig_name = '{n}')" for n, p in ((name, pos), (to, upto))]
+
+
+_NAMED, _RECORDS = _named(NAMED_RANGE), _named(RECORD_RANGE)
 _SCAN = "select ord, qname, mapped, contig_name, start_idx, end_idx from rd where "
 _ONE_CALL = "select idx, min((vcf_alt, freq)) as c from calls where vcf_kind = '{0}' group by idx"
 
@@ -125,6 +134,7 @@ ORACLE = {
         "index_positions": "select s.rec_id, s.idx, c.contig_name, s.idx - c.cs + 1 as ref_pos from site s join ctg c on s.idx >= c.cs and s.idx < c.cs + c.contig_length",
         "scan_mapped": _SCAN + "mapped",
         "scan_range": _SCAN + f"mapped and end_idx >= {RANGE[0]} and start_idx < {RANGE[1]}",
+        "scan_named_range": _SCAN + f"mapped and end_idx >= {_NAMED[0]} and start_idx <= {_NAMED[1]}",
         "scan_unmapped": _SCAN + "not mapped",
         "scan_range_unmapped": _SCAN + f"not mapped or end_idx >= {RANGE[0]} and start_idx <= {RANGE[1]}",
         "covering_counts": "select idx, count(*) as n_reads from covers group by idx",
@@ -163,8 +173,8 @@ select idx, length, max(case when b then idx end) over (order by idx) as cluster
         "masked_cells": "select ord, idx, allele, use_b, masked from mcell",
         "difference_records": "select * from diff",
         "mask_codes": "select sample_id, idx, cast(list_sum(list_transform([0, 1, 2, 3], lambda i: (instr('ATGC', substr(perm_a, i + 1, 1)) - 1) * (1 << (2 * i)))) as int) as code_a, perm_a from diff",
-        "difference_slice": f"select * from diff where idx between {RANGE[0]} and {RANGE[1]}",
-        "difference_bounds": f"select sample_id, min(idx) as first_idx, max(idx) as last_idx, min(idx) filter (idx >= {RANGE[0]}) as at_or_after, max(idx) filter (idx <= {RANGE[0]}) as at_or_before from diff group by sample_id",
+        "difference_slice": f"select * from diff where idx between {_RECORDS[0]} and {_RECORDS[1]}",
+        "difference_bounds": f"select sample_id, min(idx) as first_idx, max(idx) as last_idx, min(idx) filter (idx >= {_RECORDS[1]}) as at_or_after, max(idx) filter (idx <= {_RECORDS[1]}) as at_or_before from diff group by sample_id",
         "run_counters": """, by_reads as (select sample_id, count(*) as n from rd group by 1),
 by_cover as (select r.sample_id, count(distinct r.ord) as n from rd r join snvs v on v.idx between r.start_idx and r.end_idx where r.mapped group by 1),
 by_change as (select sample_id, count(*) as c, count(distinct ord) as r, count(distinct idx) as i from mcell where allele <> masked group by 1)
@@ -175,7 +185,8 @@ from by_reads r left join by_cover c on r.sample_id is not distinct from c.sampl
         "unmasked_reads": "select ord, seq, cigar, qual, ord in (select ord from edits) as was_masked from rd",
         "ciphered_reads": """select ord, list_aggregate(list_transform(string_split(seq, ''), lambda b, i: case when b = 'N' then b else
   substr('ATGC', xor(instr('ATGC', b) - 1, (cast('0x' || substr(md5('s:' || qname), cast((i - 1) // 2 % 32 + 1 as bigint), 1) as bigint) >> (case when i % 2 = 1 then 2 else 0 end)) & 3) + 1, 1) end), 'string_agg', '') as seq
-from rd where not mapped and regexp_full_match(seq, '[ATGCN]+')""",
+from rd where not mapped and regexp_full_match(seq, '[ATGCN]+')
+union all select ord, case when seq = '' then '' end from rd where not mapped and not coalesce(regexp_full_match(seq, '[ATGCN]+'), false)""",
         "packed_reads": """select ord, list_aggregate(list_transform(range(0, (length(seq) + 3) // 4 * 2), lambda i: substr('0123456789ABCDEF', (coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 1, 1)), 0), 1) - 1) * 4
   + coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 2, 1)), 0), 1), 1)), 'string_agg', '') as packed, seq from rd where regexp_full_match(seq, '[ATGC]+')
 union all select ord, case when seq = '' then '' end, seq from rd where not coalesce(regexp_full_match(seq, '[ATGC]+'), false)""",

@@ -4,3 +4,5 @@
 SEED, RANDOM_SHARE = 7, 0.000001
 #: Range of absolute indices that the range queries read.
 RANGE = (200_000_000, 900_000_000)
+#: Ranges by name: of reads, and of difference records.
+NAMED_RANGE, RECORD_RANGE = "chr1:200000000:chr3:90000000", "chrM:1000:chrM:9000"

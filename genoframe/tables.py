@@ -13,12 +13,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names in
-    ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session (tests) may leave that unset, and gets a fresh local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
