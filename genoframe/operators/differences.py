@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +49,25 @@ def overlap_clusters(variants: DataFrame) -> DataFrame:
 
 
 def as_text(records: DataFrame, second: DataFrame, numbering: DataFrame) -> DataFrame:
-    """(sample_id, idx, line): tab-separated lines of SNV records: index, kind, reference, zygosity,
-    first mask and, where there are two, the second and the numbers of its reads.
+    """(sample_id, idx, line): tab-separated lines of records: index, 1 for single bases and 0
+    for indels, reference, zygosity, first mask and, where there are two, the second and the
+    numbers of its reads.
 
-    ``numbering`` has (ord, number) of the reads as the file counts them. Lists of numbers
-    are per variant, as long as its pile-up."""
+    ``records`` are those of a masking run (images_a, images_b). ``numbering`` has (ord, number)
+    of the reads as the file counts them. Lists of numbers are per variant, as long as its
+    pile-up."""
     keys = person_keys(records)
     numbered = second.join(numbering, "ord").groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("number")), ",").alias("_reads"))
-    letters = lambda c: F.array_join(F.regexp_extract_all(F.col(c), F.lit("(.)"), F.lit(1)), ",")
     joined = join_null_safe(records, numbered, keys, "left")
     two = F.col("zygosity").isin(1, 3)
-    fields = [F.col("idx").cast("string"), F.lit("1"), F.col("ref_id").cast("string"), F.col("zygosity").cast("string"), letters("perm_a")]
-    return joined.select(*keys, F.concat_ws("\t", *fields, F.when(two, letters("perm_b")), F.when(two, F.coalesce("_reads", F.lit("")))).alias("line"))
+    fields = [F.col("idx").cast("string"), F.col("is_snv").cast("int").cast("string"), F.col("ref_id").cast("string"), F.col("zygosity").cast("string"), F.array_join("images_a", ",")]
+    line = F.concat_ws("\t", *fields, F.when(two, F.array_join("images_b", ",")), F.when(two, F.coalesce("_reads", F.lit(""))))
+    # A record must name its reference among its alleles.
+    sound = F.col("ref_id").between(0, F.size("images_a") - 1)
+    return joined.select(*keys, F.when(sound, line).otherwise(F.raise_error(F.concat(F.lit("no reference at "), F.col("idx").cast("string")))).alias("line"))
+
+
+def text_head(header: dict, n_snvs: int, n_indels: int, last_index: int, index: list[tuple[int, int]] = (), resolution: int = 1000) -> list[str]:
+    """Lines before the records: the header as sorted JSON, counts, and the sparse index."""
+    counts = (("snvs", n_snvs), ("indels", n_indels), ("last_index", last_index), ("index_res", resolution), ("index_size", len(index)))
+    return [*json.dumps(header, sort_keys=True, indent=4).split("\n"), *[f"{k}\t{v}" for k, v in counts], *[f"{i}\t{p}" for i, p in index]]

@@ -7,11 +7,9 @@ seed, index, sample and read alone, and each person has masks of their own. Whic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.functions.bases import BASES, permute_base, swap_permutation
@@ -132,26 +130,27 @@ def rewrite_reads(reads: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(*[put[c].alias(c) if c in put else F.col(c) for c in reads.columns])
 
 
-def drawn_bijection(alleles: list[str], private: list[int], public: list[int], draws: list[float]) -> dict[str, str]:
-    """A bijection of alleles onto themselves: again and again the most frequent private
-    allele left goes to one drawn by public weight from those left; the last pair remains.
-
-    ``draws`` has a tie-breaker per allele, then a draw per pair. Alleles go by name."""
-    order = sorted(range(len(alleles)), key=lambda i: alleles[i])
-    sources = sorted(order, key=lambda i: -(private[i] + draws[order.index(i)]))
-    targets, out = list(order), {}
-    for turn, source in enumerate(sources):
-        weights = [public[t] for t in targets]
-        total = sum(weights)
-        u = draws[len(alleles) + turn] if len(targets) > 1 else 0.0
-        at, upto = len(targets) - 1, 0.0
-        for k, w in enumerate(weights if total else [1] * len(targets)):
-            upto += w
-            if upto > u * (total or len(targets)):
-                at = k
-                break
-        out[alleles[source]] = alleles[targets.pop(at)]
-    return out
+def drawn_bijection(alleles: Column, private: Column, public: Column, draws: Column) -> Column:
+    """A bijection of alleles onto themselves, as map<string,string>: again and again the most
+    frequent private allele left goes to one drawn by public weight from those left; the last
+    pair remains.
+
+    ``draws`` has a tie-breaker per allele (by name), then a draw per pair. Where no weight is
+    left each allele is equally likely."""
+    named = F.array_sort(F.arrays_zip(alleles.alias("allele"), private.alias("n"), public.alias("weight")))
+    ranked = F.transform(named, lambda x, i: F.struct((-(x["n"] + F.get(draws, i))).alias("score"), x["allele"].alias("allele")))
+    option = lambda x: F.struct(x["allele"].alias("allele"), x["weight"].cast("double").alias("weight"))
+    kinds = "array<struct<from:string,to:string>>"
+    state = F.struct(F.transform(named, option).alias("left"), F.array().cast(kinds).alias("pairs"))
+
+    def pair(acc: Column, source: Column) -> Column:
+        left, done = acc["left"], F.size(acc["pairs"])
+        u = F.when(F.size(left) > 1, F.get(draws, F.size(alleles) + done)).otherwise(F.lit(0.0))
+        at = F.coalesce(weighted_index(F.transform(left, lambda x: x["weight"]), u), F.size(left) - 1)
+        put = F.struct(source["allele"].alias("from"), F.get(left, at)["allele"].alias("to"))
+        return F.struct(F.filter(left, lambda x, i: i != at).alias("left"), F.concat(acc["pairs"], F.array(put)).alias("pairs"))
+
+    return F.map_from_entries(F.aggregate(F.array_sort(ranked), state, pair, lambda acc: acc["pairs"]))
 
 
 def indel_masks(cells: DataFrame, variants: DataFrame, seed: int) -> DataFrame:
@@ -162,16 +161,9 @@ def indel_masks(cells: DataFrame, variants: DataFrame, seed: int) -> DataFrame:
     private = seen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("allele", "n"))).alias("_private"))
     joined = variants.select("idx", "alleles", "counts").join(private, "idx")
     draws = F.transform(F.sequence(F.lit(1), F.size("alleles") * 2), lambda k: uniform(seed, "indel", F.col("idx"), k, *[F.col(c) for c in keys[:-1]]))
-    rows = joined.select(*keys, "alleles", "counts", F.transform("alleles", lambda a: F.coalesce(F.try_element_at("_private", a), F.lit(0).cast("bigint"))).alias("private"), draws.alias("draws"))
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            maps = [drawn_bijection(list(a), list(p), list(c), list(d)) for a, p, c, d in zip(batch["alleles"], batch["private"], batch["counts"], batch["draws"])]
-            yield pd.DataFrame({**{c: batch[c] for c in keys}, "sources": [list(m) for m in maps], "targets": [list(m.values()) for m in maps]})
-
-    schema = ", ".join({"sample_id": "sample_id string", "idx": "idx bigint"}[c] for c in keys)
-    pairs = rows.mapInPandas(build, f"{schema}, sources array<string>, targets array<string>")
-    return pairs.select(*keys, F.map_from_arrays("sources", "targets").alias("mask"))
+    n_private = F.transform("alleles", lambda a: F.coalesce(F.try_element_at("_private", a), F.lit(0).cast("bigint")))
+    rows = joined.select(*keys, "alleles", "counts", n_private.alias("_n"), draws.alias("_draws"))
+    return rows.select(*keys, drawn_bijection(F.col("alleles"), F.col("_n"), F.col("counts"), F.col("_draws")).alias("mask"))
 
 
 def invert(mask: str = "mask"):

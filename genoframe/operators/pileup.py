@@ -54,6 +54,24 @@ def indel_cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
     return rows.drop("_exp", "seq", "cigar").distinct()
 
 
+def variant_cells(reads: DataFrame, variants: DataFrame) -> DataFrame:
+    """Cells of single bases and of insertions and deletions in one join. ``variants`` has
+    (idx, is_snv, ref_allele, alleles).
+
+    Only alleles that can be told apart again once another one stands in their place count:
+    where an insertion or deletion follows right after, the place is undecided (null)."""
+    rows = cells(reads, variants.select("idx", "is_snv", "ref_allele", "alleles"))
+    base = F.call_function("substring", F.col("seq"), F.col("seq_pos") + 1, F.lit(1))
+    units = expand(F.col("cigar"))
+    found = matching_allele(F.col("seq"), F.col("_exp"), F.col("alleles"), F.col("ref_allele"), F.col("seq_pos"), F.col("unit"))
+    rows = rows.withColumn("_exp", F.when(~F.col("is_snv") & F.col("seq_pos").isNotNull(), units))
+    rows = rows.withColumn("allele", F.when(F.col("is_snv"), F.when(base.isin(*BASES), base)).when(F.col("_exp").isNotNull(), found))
+    used = F.greatest(F.length("allele"), F.length("ref_allele"))
+    after = F.call_function("substring", F.col("_exp"), F.col("unit") + used + 1, F.lit(1))
+    told = F.col("is_snv") | ((after != "") & ~after.isin("I", "D"))
+    return rows.withColumn("allele", F.when(told, F.col("allele"))).drop("_exp", "seq", "cigar", "alleles").distinct()
+
+
 def base_counts(snv: DataFrame) -> DataFrame:
     """(sample_id, idx, counts): a person's known bases at each variant, in the order of
     ``BASES``. Variants that no read shows a base at are left out. Counts are added up before

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,20 +134,30 @@ def overlap_runs(variants: DataFrame, tile: int = 1 << 20) -> DataFrame:
     return own.join(carried, ["group", "_tile"]).select(*variants.columns, F.coalesce("_run", "_carried").alias("run"))
 
 
+def _keep_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of each run in order, less those that begin before the last kept one's end. A
+    run's first row is kept as it is; only the rows after it are walked."""
+    group, run, free = None, None, -1
+    for batch in batches:
+        keep = (batch["idx"] == batch["run"]).to_numpy().copy()
+        ends = (batch["idx"] + batch["length"]).to_numpy()
+        starts, groups, runs = batch["idx"].to_numpy(), batch["group"].to_numpy(), batch["run"].to_numpy()
+        for i in np.flatnonzero(~keep):
+            if i and keep[i - 1] and starts[i - 1] == runs[i - 1]:
+                group, run, free = groups[i - 1], runs[i - 1], ends[i - 1]
+            if (groups[i], runs[i]) != (group, run) or starts[i] >= free:
+                keep[i], group, run, free = True, groups[i], runs[i], ends[i]
+        if len(batch) and keep[-1]:
+            group, run, free = groups[-1], runs[-1], ends[-1]
+        yield batch[keep]
+
+
 def non_overlapping(variants: DataFrame, tile: int = 1 << 20) -> DataFrame:
     """Variants (group, idx, length, ...) kept in order: each that begins at or after the
-    end of the last kept one, or first in its group. Runs of touching variants are folded
-    each by itself; a run is as long as spans go on touching."""
-    fields = [c for c in variants.columns if c not in ("group", "idx")]
-    row = F.struct("idx", *fields)
-    runs = overlap_runs(variants, tile)
-    kept_type = runs.select(F.array(row)).schema[0].dataType
-    state = F.struct(F.lit(-1).cast("bigint").alias("free"), F.array().cast(kept_type).alias("kept"))
-
-    def keep(acc, v):
-        then = F.struct((v["idx"] + v["length"]).cast("bigint").alias("free"), F.concat(acc["kept"], F.array(v)).alias("kept"))
-        return F.when(v["idx"] >= acc["free"], then).otherwise(acc)
+    end of the last kept one, or first in its group.
 
-    listed = runs.groupBy("group", "run").agg(F.array_sort(F.collect_list(row)).alias("_list"))
-    kept = F.aggregate("_list", state, keep, lambda acc: acc["kept"])
-    return listed.select("group", F.explode(kept).alias("_v")).select("group", *[f"_v.{c}" for c in ("idx", *fields)])
+    Runs of touching variants are sorted and read through as a stream that holds one end, so
+    neither the number of runs nor the length of one needs memory."""
+    runs = overlap_runs(variants, tile)
+    sorted_runs = runs.repartition("group", "run").sortWithinPartitions("group", "run", "idx")
+    return sorted_runs.mapInPandas(_keep_in_order, runs.schema).select(*variants.columns)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from genoframe.functions import bases, cigar
 from genoframe.functions.info import format_value, info_counts, info_number
 from genoframe.operators import contigs as dictionary
-from genoframe.operators import differences, genotype_matrix, masking, pileup, position_sets, reads, variants
+from genoframe.operators import differences, genotype_matrix, masking, pileup, position_sets, reads, runs, variants
 from genoframe.operators.interval_join import covering_pairs
 from genoframe.operators.joins import join_null_safe, person_keys
 from genoframe.operators.packed_fields import ALLELES, packed_values
 from genoframe.plans.reference_sql import ORACLE
-from genoframe.plans.settings import NAMED_RANGE, RANDOM_SHARE, RANGE, RECORD_RANGE, SEED
+from genoframe.plans.settings import NAMED_RANGE, RANDOM_SHARE, RANGE, RECORD_RANGE, SECRET, SEED, UNMASK_RANGE
 from genoframe.sources import text_formats
 from genoframe.tables import ensure_checkpoint_dir, read_table
 
@@ -249,8 +249,9 @@ def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
     whether masking had changed the read."""
     placed, (_, cells, _) = _reads(spark, sf).withColumn("_original", F.col("seq")), _masked(spark, sf)
     given = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
-    given = given.withColumn("was_masked", F.col("seq") != F.col("_original"))
-    records = masking.difference_table(cells)
+    # The masked reads and their records are written tables for whoever restores them.
+    given = given.withColumn("was_masked", F.col("seq") != F.col("_original")).drop("_original").checkpoint()
+    records = masking.difference_table(cells).checkpoint()
     again = pileup.snv_cells(given, records.select("idx").distinct())
     restored = masking.unmask_cells(again, records, masking.second_mask_reads(cells))
     return masking.rewrite_reads(given, _changes(restored, "allele", "restored")).select(*_READ, "was_masked")
@@ -275,6 +276,54 @@ def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
     return masking.rewrite_reads(placed, changes).select(*_READ)
 
 
+def _run(spark: SparkSession, sf: str) -> runs.MaskedRun:
+    first, last = dictionary.resolve_range(_contigs(spark, sf), None, None, None, None)
+    random = variants.random_snvs(spark, first, last, RANDOM_SHARE, SEED)
+    # Few rows beside the reads, and used for cells, counts and masks of both kinds.
+    kept = runs.kept_variants(variants.as_variants(*_tables(spark, sf)), random, _contigs(spark, sf)).checkpoint()
+    return runs.mask_reads(_reads(spark, sf), kept, SEED, SECRET)
+
+
+def mask_run_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """All reads after a whole masking run, both kinds of variants and unmapped reads."""
+    return _run(spark, sf).reads.select(*_READ)
+
+
+def mask_run_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records that undo a whole masking run, as lines of text."""
+    run = _run(spark, sf)
+    return differences.as_text(run.records, run.second, run.reads.select("ord", F.col("ord").alias("number")))
+
+
+def _restored(spark: SparkSession, sf: str, **how) -> DataFrame:
+    run = _run(spark, sf)
+    # Between the two runs masked reads and their records are written tables.
+    written = [df.checkpoint() for df in (run.reads, run.records, run.second)]
+    return runs.unmask_reads(*written, secret=SECRET, **how).select("ord", "seq", "cigar")
+
+
+def unmask_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Mapped reads restored after a whole masking run: bases and CIGAR of the originals."""
+    return _restored(spark, sf)
+
+
+def unmask_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of a range by name, restored. Records outside of the range aren't used."""
+    first, last = _named(spark, sf, UNMASK_RANGE)
+    return _restored(spark, sf, start=first, end=last)
+
+
+def unmask_range_unmapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of a range, and all unmapped ones, restored."""
+    first, last = _named(spark, sf, UNMASK_RANGE)
+    return _restored(spark, sf, start=first, end=last, include_unmapped=True)
+
+
+def unmask_unmapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Unmapped reads alone, restored."""
+    return _restored(spark, sf, unmapped_only=True)
+
+
 _PLAIN = "^[ATGCN]*$"
 
 
@@ -387,7 +436,8 @@ def sample_components(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        contig_starts, site_indices, index_positions, scan_mapped, scan_range, scan_unmapped, scan_range_unmapped, covering_counts, covering_read_count, pileup_cells, pileup_counts, scan_named_range,
+        contig_starts, site_indices, index_positions, scan_mapped, scan_range, scan_unmapped, scan_range_unmapped, covering_counts, covering_read_count, pileup_cells, pileup_counts, scan_named_range, mask_run_reads, mask_run_records, unmask_all, unmask_range,
+        unmask_range_unmapped, unmask_unmapped,
         genotype_calls, allele_count_snvs, allele_count_indels, allele_count_counters, allele_count_text, reference_mismatches, merged_variants, kept_variants, overlap_clusters,
         genotype_masks, zygosity_changes, masked_cells, difference_records, mask_codes, difference_slice, difference_bounds, run_counters, masked_reads, unmasked_reads, indel_pileup,
         indel_masked_reads, ciphered_reads, secret_ciphered_reads, packed_reads, cigar_lengths, sam_text, passing_calls, position_classes, position_set_sizes, frequency_histogram,

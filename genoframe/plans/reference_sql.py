@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from genoframe.operators import position_sets
-from genoframe.plans.settings import NAMED_RANGE, RANDOM_SHARE, RANGE, RECORD_RANGE, SEED
+from genoframe.plans.settings import NAMED_RANGE, RANDOM_SHARE, RANGE, RECORD_RANGE, SEED, UNMASK_RANGE
 
 _SITE = """
   select rec_id, r.c as vcf_chrom, r.p as vcf_pos, upper(r.r) as ref, upper(r.a) as alt, string_split(upper(r.a), ',') as alts, r.i as info from (
@@ -122,7 +122,7 @@ def _named(text: str) -> list[str]:
     return [f"(select cs + {p} - 1 from ctg where contig_name = '{n}')" for n, p in ((name, pos), (to, upto))]
 
 
-_NAMED, _RECORDS = _named(NAMED_RANGE), _named(RECORD_RANGE)
+_NAMED, _RECORDS, _UNMASKED = _named(NAMED_RANGE), _named(RECORD_RANGE), _named(UNMASK_RANGE)
 _SCAN = "select ord, qname, mapped, contig_name, start_idx, end_idx from rd where "
 _ONE_CALL = "select idx, min((vcf_alt, freq)) as c from calls where vcf_kind = '{0}' group by idx"
 
@@ -187,6 +187,10 @@ from by_reads r left join by_cover c on r.sample_id is not distinct from c.sampl
   substr('ATGC', xor(instr('ATGC', b) - 1, (cast('0x' || substr(md5('s:' || qname), cast((i - 1) // 2 % 32 + 1 as bigint), 1) as bigint) >> (case when i % 2 = 1 then 2 else 0 end)) & 3) + 1, 1) end), 'string_agg', '') as seq
 from rd where not mapped and regexp_full_match(seq, '[ATGCN]+')
 union all select ord, case when seq = '' then '' end from rd where not mapped and not coalesce(regexp_full_match(seq, '[ATGCN]+'), false)""",
+        "unmask_all": "select ord, seq, cigar from rd where mapped",
+        "unmask_range": f"select ord, seq, cigar from rd where mapped and end_idx >= {_UNMASKED[0]} and start_idx <= {_UNMASKED[1]}",
+        "unmask_range_unmapped": f"select ord, seq, cigar from rd where not mapped or end_idx >= {_UNMASKED[0]} and start_idx <= {_UNMASKED[1]}",
+        "unmask_unmapped": "select ord, seq, cigar from rd where not mapped",
         "packed_reads": """select ord, list_aggregate(list_transform(range(0, (length(seq) + 3) // 4 * 2), lambda i: substr('0123456789ABCDEF', (coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 1, 1)), 0), 1) - 1) * 4
   + coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 2, 1)), 0), 1), 1)), 'string_agg', '') as packed, seq from rd where regexp_full_match(seq, '[ATGC]+')
 union all select ord, case when seq = '' then '' end, seq from rd where not coalesce(regexp_full_match(seq, '[ATGC]+'), false)""",
