@@ -1,16 +1,20 @@
 """Differences between two copies of a keyed table (problem 1).
 
 Each copy is folded into a checksum matrix: one row per bucket of keys, one additive
-80-bit sum per column (two 40-bit lanes, so a bucket may hold 2**23 keys before a lane
-could overflow a long). Two copies agree in a bucket and column if the sums agree.
-Only rows of unequal buckets are read again: they are picked before the shuffle, and of
-each bucket only its unequal columns are joined and compared field by field.
+80-bit sum per column in two 40-bit lanes. Two copies agree in a bucket and column if the
+sums agree. Only rows of unequal buckets are read again, and of those only the values of
+the bucket's unequal columns go into the shuffle, where they are joined and compared field
+by field.
+
+There is a bucket for some ``BUCKET_ROWS`` rows, up to ``MAX_BUCKETS``, so that a difference
+costs the rereading of few records, and the list of unequal cells can be broadcast: a number
+and a short text each. A lane holds 2**23 keys a bucket, so 2**41 keys in all.
 
 Cases:
 
 * several rows per key: the one with the latest version stands; among rows of one
-  version the greatest by its columns in order (nulls first) does, so repeats and ties
-  give one defined row. A null version is the oldest.
+  version the greatest by a hash of its fields does, so repeats and ties give one defined
+  row, and equal rows on both sides give the same. A null version is the oldest.
 * a null key is a key like any other; it meets the null key of the other side.
 * two nulls are equal, null against a value is a difference; NaN equals NaN.
 * an empty side: each record of the other is missing there.
@@ -26,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LANE_BITS = 40
+#: Rows to a bucket, and the most buckets, whose unequal ones are broadcast (some 40 bytes each).
+BUCKET_ROWS, MAX_BUCKETS = 8, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -37,8 +43,16 @@ class Field:
     tolerance: float | None = None
 
 
+def bucket_count(rows: int, partitions: int) -> int:
+    """A multiple of the shuffle's partitions: then all keys of a bucket are folded in one
+    partition, and its row of the matrix leaves one task only."""
+    wanted = min(MAX_BUCKETS, max(1, rows // BUCKET_ROWS))
+    return -(-wanted // partitions) * partitions
+
+
 def _bucket(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("bucket"), F.col(key)), F.lit(buckets)).cast("int")
+    # The hash by which the shuffle on the key spreads rows.
+    return F.pmod(F.hash(F.col(key)), F.lit(buckets)).cast("int")
 
 
 def _lanes(key: str, column: str) -> list[Column]:
@@ -50,11 +64,20 @@ def _lanes(key: str, column: str) -> list[Column]:
     ]
 
 
+def _versioned(df: DataFrame, key: str, version: str, fields: Mapping[str, Field]) -> DataFrame:
+    """Key, version, canonical fields, and the hash that settles ties."""
+    rows = df.select(F.col(key), F.col(version).alias("_version"), *[f.canonical.alias(name) for name, f in fields.items()])
+    return rows.withColumn("_tie", F.xxhash64(*[x for name in fields for x in (F.col(name).isNull(), F.col(name))]))
+
+
+def _standing(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    best = rows.groupBy(key).agg(F.max(F.struct("_version", "_tie", *names)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{name}").alias(name) for name in names])
+
+
 def current_rows(df: DataFrame, key: str, version: str, fields: Mapping[str, Field]) -> DataFrame:
     """The standing row of each key, with canonical fields."""
-    rows = df.select(F.col(key), F.col(version).alias("_version"), *[f.canonical.alias(name) for name, f in fields.items()])
-    best = rows.groupBy(key).agg(F.max(F.struct("_version", *fields)).alias("_best"))
-    return best.select(key, *[F.col(f"_best.{name}").alias(name) for name in fields])
+    return _standing(_versioned(df, key, version, fields), key, list(fields))
 
 
 def checksum_matrix(rows: DataFrame, key: str, columns: list[str], buckets: int) -> DataFrame:
@@ -65,18 +88,18 @@ def checksum_matrix(rows: DataFrame, key: str, columns: list[str], buckets: int)
 
 
 def unequal_cells(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Buckets in which the matrices differ, with the columns that do.
-
-    A bucket whose keys differ is reread with all columns' cells that differ; ``_key``
-    among the cells says that keys may be missing."""
+    """(_bucket, _cells) of buckets in which the matrices differ: a text with a 1 for each
+    column that does, and a 0 for each that doesn't. Where keys alone differ all are 0 but
+    for the columns that missing records made unequal."""
     a, b = left.alias("a"), right.alias("b")
     joined = a.join(b, F.col("a._bucket") == F.col("b._bucket"), "full_outer")
 
     def differs(name: str) -> Column:
         return ~(F.col(f"a.{name}_0").eqNullSafe(F.col(f"b.{name}_0")) & F.col(f"a.{name}_1").eqNullSafe(F.col(f"b.{name}_1")))
 
-    cells = F.array_compact(F.array(*[F.when(differs(name), F.lit(name)) for name in ("_key", *columns)]))
-    return joined.select(F.coalesce("a._bucket", "b._bucket").alias("_bucket"), cells.alias("_cells")).filter(F.size("_cells") > 0)
+    cells = F.concat(*[F.when(differs(name), "1").otherwise("0") for name in columns])
+    found = joined.select(F.coalesce("a._bucket", "b._bucket").alias("_bucket"), cells.alias("_cells"), differs("_key").alias("_keys"))
+    return found.filter(F.col("_keys") | F.contains("_cells", F.lit("1"))).drop("_keys")
 
 
 def table_diff(
@@ -87,25 +110,23 @@ def table_diff(
     fields: Mapping[str, Field],
     missing_left: str,
     missing_right: str,
-    buckets: int = 4096,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Rows (key, field_name): records that one side lacks, and each unequal field.
 
-    ``buckets`` bounds the list of unequal cells, which is broadcast: at most that many
-    rows of a few short strings, whatever the tables' size. Raise it with the tables so
-    that few buckets hold a difference.
-    """
+    The number of ``buckets`` comes from the tables' rows unless it is given."""
     names = list(fields)
-    sides = [current_rows(df, key, version, fields) for df in (left, right)]
-    cells = unequal_cells(*[checksum_matrix(s, key, names, buckets) for s in sides], names)
+    if buckets is None:
+        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = bucket_count(max(left.count(), right.count()), partitions)
+    cells = unequal_cells(*[checksum_matrix(current_rows(df, key, version, fields), key, names, buckets) for df in (left, right)], names)
     cells = F.broadcast(cells)
 
     def reread(df: DataFrame) -> DataFrame:
-        hit = df.withColumn("_bucket", _bucket(key, buckets)).join(cells.select("_bucket"), "_bucket", "left_semi")
-        # The cells come back by bucket after the fold, so that the shuffle needn't carry them.
-        best = current_rows(hit, key, version, fields).withColumn("_bucket", _bucket(key, buckets)).join(cells, "_bucket")
-        # Fields of equal cells need no look: on both sides they are left out alike.
-        return best.select(key, F.lit(1).alias("_side"), *[F.when(F.array_contains("_cells", n), F.col(n)).alias(n) for n in names])
+        hit = _versioned(df, key, version, fields).withColumn("_bucket", _bucket(key, buckets)).join(cells, "_bucket")
+        # Values of equal cells stay behind before the shuffle, on both sides alike.
+        unequal = [F.when(F.substring("_cells", i + 1, 1) == "1", F.col(n)).alias(n) for i, n in enumerate(names)]
+        return _standing(hit.select(key, "_version", "_tie", *unequal), key, names).withColumn("_side", F.lit(1))
 
     a, b = reread(left).alias("a"), reread(right).alias("b")
     both = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer")
