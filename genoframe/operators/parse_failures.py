@@ -31,6 +31,7 @@ from genoframe.operators.joins import join_checked
 
 FIXED_COLUMNS = 8
 _SEPARATORS = str.maketrans({"=": "\t", ",": "\t", ";": "\t", "\r": " ", "\n": " "})
+_BREAKS = str.maketrans({"\r": " ", "\n": " "})
 _DIGITS = re.compile(r"[0-9]+")
 _BASES = re.compile(r"[ACGTNacgtn]+")
 _ALLELE = re.compile(r"[ACGTNacgtn]+|\*|<[A-Za-z0-9:_-]+>")
@@ -49,19 +50,23 @@ class FieldError(ValueError):
     """A field that can't be built; the message is the reason."""
 
 
+def _read(text: str) -> list[str]:
+    """The values of one line by the strict reader. Raises csv.Error."""
+    return next(csv.reader([text], delimiter="\t", quotechar='"', doublequote=True, strict=True), [])
+
+
 def assemble_columns(line: str) -> list[str]:
     """The columns of a line; tabs in quoted values don't separate. Raises csv.Error."""
-    if '"' not in line:
-        return line.split("\t")
     csv.field_size_limit(sys.maxsize)
-    values = next(csv.reader([line.translate(_SEPARATORS)], delimiter="\t", quotechar='"', doublequote=True, strict=True))
     columns, begin, at = [], 0, 0
-    for value in values:
-        quoted = line.startswith('"', at)
+    has_quote = '"' in line
+    # Without quotes nothing but tabs can separate columns.
+    for value in _read(line.translate(_SEPARATORS if has_quote else _BREAKS)):
+        quoted = has_quote and line.startswith('"', at)
         end = at + len(value) + (2 + value.count('"') if quoted else 0)
         if quoted and (at == 0 or line[at - 1] not in "=," or line[end : end + 1] not in ("", ";", ",", "\t")):
             raise csv.Error("quoted text where no value stands")
-        if not quoted and '"' in value:
+        if not quoted and has_quote and '"' in value:
             raise csv.Error("quote within a plain value")
         if line[end : end + 1] in ("", "\t"):
             columns.append(line[begin:end])
