@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Rows up to which a side of a few short columns is broadcast (some tens of MB at most).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side is broadcast, by its values and ``ROW_BYTES`` for each row; hashed
+#: in an executor it takes some times as much.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 16
 #: Parts into which a key is cut where the small side is beyond that; what is still uneven
 #: then is left to adaptive execution, which splits large partitions.
 SALTS = 16
@@ -18,16 +20,34 @@ def _on(keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"big.{k}").eqNullSafe(F.col(f"small.{k}")) for k in keys])
 
 
-def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+def _bytes(df: DataFrame) -> Column:
+    """How many bytes a row's values take; elements of arrays count as their texts or as 8."""
+
+    def one(value: Column, kind) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.octet_length(value)
+        if isinstance(kind, ArrayType):
+            return F.aggregate(value, F.lit(0), lambda n, x: n + F.coalesce(one(x, kind.elementType), F.lit(0)))
+        return F.lit(8)
+
+    return sum((F.coalesce(one(F.col(f.name), f.dataType), F.lit(0)) for f in df.schema), F.lit(ROW_BYTES)).cast("bigint")
+
+
+def fits_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows together take at most ``limit`` bytes. Runs the side once."""
+    return small.agg(F.coalesce(F.sum(_bytes(small)), F.lit(0))).first()[0] <= limit
+
+
+def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Null-safe join that keeps ``big`` where it lies if ``small`` is small.
 
-    ``small`` is counted first. Up to ``limit`` rows it is broadcast; beyond, ``big`` is
+    ``small`` is measured first. Up to ``limit`` bytes it is broadcast; beyond, ``big`` is
     salted and ``small`` repeated per salt, so that a key holding a third of ``big`` is
     spread over ``SALTS`` tasks. Columns of ``small`` beside the keys must not be in ``big``.
     """
     rest = [c for c in small.columns if c not in keys]
     picked = [F.col(f"big.{c}") for c in big.columns] + ([] if how in ("left_semi", "left_anti") else [F.col(f"small.{c}") for c in rest])
-    if small.limit(limit + 1).count() <= limit:
+    if fits_broadcast(small, limit):
         return big.alias("big").join(F.broadcast(small).alias("small"), _on(keys), how).select(*picked)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

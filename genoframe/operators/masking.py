@@ -102,7 +102,7 @@ def run_counters(reads: DataFrame, covering: DataFrame, variants: DataFrame, mas
             changed.groupBy("sample_id").agg(one.alias("n_changed_cells"), F.count_distinct("ord").alias("n_changed_reads"), F.count_distinct("idx").alias("n_records")),
         ]
         rows = reduce(lambda a, b: join_null_safe(a, b, ["sample_id"], "left"), per_person)
-        rows = rows.crossJoin(variants.agg(one.alias("n_variants")))
+        rows = rows.withColumn("n_variants", F.lit(variants.count()))
         names = ("n_reads", "n_covering", "n_variants", "n_changed_cells", "n_changed_reads", "n_records")
         return rows.select("sample_id", *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in names])
     parts = [
