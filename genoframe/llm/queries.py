@@ -10,7 +10,8 @@ from genoframe.llm.format_duplicates import bare, count_copies, pairs_as_set, ru
 from genoframe.llm.leaks import leaked_items
 from genoframe.llm.packing import pack_texts, token_counts
 from genoframe.llm.percentiles import merge_summaries, percentiles, summarise
-from genoframe.llm.truncation import truncated_texts
+from genoframe.llm.truncation import prefix_texts, truncated_texts
+from genoframe.operators.joins import join_null_safe
 from genoframe.tables import read_table
 
 #: Percentiles and metrics of problem 5.
@@ -98,15 +99,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated_texts(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
+def p9_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text is a strict prefix of a longer one, and how that one goes on."""
+    kinds = F.array(F.lit("blanks"), F.lit("line_end"), F.lit("mid_line"))
+    return prefix_texts(read_table(spark, sf_dir, "documents")).select("doc_id", F.get(kinds, F.col("kind")).alias("goes_on"))
+
+
 def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: documents with text, cut ones, and their share."""
+    """Per source: documents with text, cut ones by each way of finding them, and their share."""
     docs = read_table(spark, sf_dir, "documents").filter("text is not null")
-    cut = truncated_texts(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_cut"))
-    every = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-    n_cut = F.coalesce("n_cut", F.lit(0))
-    return every.join(cut.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        "source", "n_docs", n_cut.alias("n_cut"), (n_cut / F.col("n_docs")).alias("cut_share")
-    )
+    one = F.count(F.lit(1))
+    cut = truncated_texts(docs).groupBy("source").agg(one.alias("n_cut"), F.count_if(F.col("found_by") == "prefix").alias("n_prefix"))
+    rows = docs.groupBy("source").agg(one.alias("n_docs"))
+    counts = [F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("n_cut", "n_prefix")]
+    return join_null_safe(rows, cut, ["source"], "left").select("source", "n_docs", *counts).withColumn("cut_share", F.col("n_cut") / F.col("n_docs"))
 
 
 QUERIES = {
@@ -121,6 +127,7 @@ QUERIES = {
     "p8_items": p8_items,
     "p8_near": p8_near,
     "p9_found": p9_found,
+    "p9_prefixes": p9_prefixes,
     "p9_sources": p9_sources,
 }
 
@@ -155,10 +162,19 @@ long as (
   select panel_id, 'vcf_qual' as metric, vcf_qual as x from once union all select panel_id, 'call_depth', call_depth::double from once union all select panel_id, 'alt_freq', alt_freq from once)
 select panel_id, metric, count(*) as n_values from long where x >= 0 and not isnan(x) group by 1, 2"""
 
+_P9 = r"""
+with solid as (select doc_id, text, length(text) as n from documents where regexp_matches(text, '[^ \t\r\n\f]')),
+pairs as (
+  select a.doc_id, case when not regexp_matches(substr(b.text, a.n + 1), '[^ \t\r\n\f]') then 0
+      when right(a.text, 1) in (chr(10), chr(13)) or substr(b.text, a.n + 1, 1) in (chr(10), chr(13)) then 1 else 2 end as kind
+  from solid a join solid b on left(a.text, 1) = left(b.text, 1) and b.n > a.n and starts_with(b.text, a.text))
+select doc_id, (['blanks', 'line_end', 'mid_line'])[max(kind) + 1] as goes_on from pairs group by doc_id"""
+
 ORACLE = {
     "p5_panel_counts": _P5,
     "p4_found": _P4 + "select rep as sub_id, sub_id as dup_sub_id from counted where sub_id <> rep",
     "p4_records": _P4 + "select sub_id, n as n_copies from counted where sub_id = rep",
     "p8_found": _P8 + "select doc_id, item_id from hits",
+    "p9_prefixes": _P9,
     "p8_items": _P8 + "select item_id, count(*) as n_docs, count(distinct source) as n_sources from hits join documents using (doc_id) group by 1",
 }

@@ -1,41 +1,44 @@
 """Text cut off by field limits (problem 9).
 
-Two looks at each text. The first is the self-join by prefix: texts that are strict
-prefixes of longer texts elsewhere, found over hashes of prefixes of fixed lengths (a grid
-that grows by a quarter a step) and settled by the hash of exactly the shorter one's
-length; it counts if the longer text goes on within the line that the shorter one ends in.
-Where a cut text has no longer copy that join can't see it, so the second look reads the
-text itself: what language it is, and whether it ends inside a literal, a comment, a
-statement or a sentence or with a bracket or block open. Either one makes a case.
+Two looks at each text, in one pass over the texts. The first is the self-join by prefix:
+texts of any length that are strict prefixes of longer ones elsewhere, by hashes of prefixes
+of fixed lengths (a grid that doubles; below it every length that occurs) and settled by the
+hash of exactly the shorter one's length; it counts if the longer text goes on within the
+line that the shorter one ends in. Where a cut text has no longer copy that join can't see
+it, so the second look reads the text's end: what language it is, and whether it ends
+inside a literal, a comment, a statement or a sentence or with a bracket or block open.
+Either one makes a case, and ``found_by`` says which.
 
 Cases:
 
-* null, empty and blank texts are not cut.
-* repeated texts are judged alike; each row is reported.
-* a byte-order mark and closing blanks don't count; an ellipsis put after the end is
+* null, empty and blank texts are not cut, and are no prefixes.
+* repeated texts are judged alike; ids don't take part, so null and repeated ids are reported
+  as they are, each (id, source) once.
+* a byte-order mark and closing blanks don't count for the end; an ellipsis put after it is
   looked behind, and what stands before it decides.
-* an empty table gives no rows; null ids are reported as null; a null source is a source.
+* an empty table gives no rows; a null source is a source.
 """
 
 from __future__ import annotations
 
 import ast
-import hashlib
 import keyword
 import re
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.operators.joins import join_checked
 from genoframe.tables import ensure_checkpoint_dir
 
-_GRID = [64]
-while _GRID[-1] < 2**31:
-    _GRID.append(_GRID[-1] * 5 // 4)
+# Lengths whose prefixes are hashed, in characters.
+_GRID = [64 << k for k in range(25)]
+_BLANK, _BREAKS = r"[ \t\r\n\f]", ("\n", "\r")
+#: How a longer text goes on after a prefix of it: blanks only, after a line's end, within it.
+BLANKS, LINE_END, MID_LINE = 0, 1, 2
 
 _LITERALS = r'''"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)'''
 _C_COMMENTS = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
@@ -204,71 +207,103 @@ def cut_reason(text: str | None) -> str | None:
     return "statement" if kind != "json" and _cut_statement(kind, line) else None
 
 
-def _prefix_digests(data: bytes, lengths: list[int]) -> list[bytes]:
-    """Digest of each prefix; ``lengths`` ascend and don't exceed the text."""
-    digest, at, out = hashlib.blake2b(digest_size=16), 0, []
-    for n in lengths:
-        digest.update(data[at:n])
-        at = n
-        out.append(digest.copy().digest())
-    return out
+def _solid(text: Column) -> Column:
+    """Characters of a text less its closing blanks."""
+    return F.length(F.regexp_replace(text, f"{_BLANK}+$", ""))
+
+
+def _heads(text: Column) -> Column:
+    """Hashes of the prefixes of all lengths of the grid that the text reaches."""
+    grid = F.filter(F.array(*[F.lit(g) for g in _GRID]), lambda g: g <= F.length(text))
+    return F.transform(grid, lambda g: F.xxhash64(F.call_function("left", text, g)))
+
+
+def _kind(blank_rest: Column, at_line_end: Column) -> Column:
+    return F.when(blank_rest, F.lit(BLANKS)).when(at_line_end, F.lit(LINE_END)).otherwise(F.lit(MID_LINE))
+
+
+def _short_prefixes(ends: DataFrame) -> DataFrame:
+    """(n, digest, kind) of texts below the grid that longer ones begin with. Their few
+    lengths are looked up in the first characters of every text."""
+    short = ends.filter(F.col("n") < _GRID[0]).select("n", F.col("first").alias("prefix")).distinct()
+    lengths = sorted(r[0] for r in short.select("n").distinct().collect())  # below the grid's first
+    if not lengths:
+        return ends.select("n", "digest", F.lit(BLANKS).alias("kind")).limit(0)
+    at = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n < F.col("n"))
+    cut = ends.select("first", "solid", F.explode(at).alias("n"))
+    prefix, after = F.call_function("left", F.col("first"), F.col("n")), F.call_function("substring", F.col("first"), F.col("n") + 1, F.lit(1))
+    line_end = after.isin(*_BREAKS) | F.call_function("right", F.col("prefix"), F.lit(1)).isin(*_BREAKS)
+    cut = cut.withColumn("prefix", prefix).select("n", "prefix", _kind(F.col("solid") <= F.col("n"), line_end).alias("kind"))
+    return join_checked(cut, short, ["n", "prefix"], "left_semi").groupBy("n", F.md5(F.col("prefix").cast("binary")).alias("digest")).agg(F.max("kind").alias("kind"))
+
+
+def _long_prefixes(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(n, digest, kind) of texts on the grid that longer ones begin with. Texts that share
+    the head of the shorter one's last grid length are read again, and hash their own
+    prefixes of exactly the lengths that occur there: no pairs."""
+    steps = ends.filter(F.size("heads") > 0).select("digest", "n", "heads")
+    last = steps.select(F.size("heads").alias("step"), F.element_at("heads", -1).alias("head"), "n")
+    lengths = last.distinct()
+    longest = steps.select("n", F.posexplode("heads").alias("_at", "head")).groupBy((F.col("_at") + 1).alias("step"), "head").agg(F.max("n").alias("_longest"))
+    # Heads under which a text is longer than another one that ends there.
+    open_ended = longest.join(lengths, ["step", "head"]).filter("_longest > n").select("step", "head", "n").withColumnRenamed("n", "cut_at").checkpoint()
+    if open_ended.isEmpty():
+        return ends.select("n", "digest", F.lit(BLANKS).alias("kind")).limit(0)
+    spread = steps.select("digest", "n", F.posexplode("heads").alias("_at", "head")).select("digest", "n", (F.col("_at") + 1).alias("step"), "head")
+    wanted = join_checked(spread, open_ended, ["step", "head"], "inner").filter("cut_at < n").groupBy("digest").agg(F.collect_set("cut_at").alias("cuts")).checkpoint()
+    again = join_checked(texts.select("text", _digest(F.col("text")).alias("digest")), wanted, ["digest"], "inner")
+    cut = again.select("text", _solid(F.col("text")).alias("solid"), F.explode("cuts").alias("n"))
+    around = F.call_function("substring", F.col("text"), F.col("n"), F.lit(2))
+    line_end = F.call_function("left", around, F.lit(1)).isin(*_BREAKS) | F.call_function("right", around, F.lit(1)).isin(*_BREAKS)
+    prefix = F.call_function("left", F.col("text"), F.col("n"))
+    return cut.select("n", _digest(prefix).alias("digest"), _kind(F.col("solid") <= F.col("n"), line_end).alias("kind")).groupBy("n", "digest").agg(F.max("kind").alias("kind"))
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def _profile(docs: DataFrame, judge: bool) -> DataFrame:
+    """One pass over the texts: what the self-join needs of each, and what its end says."""
+    solid = docs.select("doc_id", "source", "text", _solid(F.col("text")).alias("solid")).filter("solid > 0")
+    first = F.call_function("left", F.col("text"), F.lit(_GRID[0]))
+    rows = solid.select("doc_id", "source", "solid", _digest(F.col("text")).alias("digest"), F.length("text").alias("n"), first.alias("first"), _heads(F.col("text")).alias("heads"), "text")
+    ensure_checkpoint_dir(docs.sparkSession)
+    if not judge:
+        return rows.drop("text").checkpoint()
+    schema = "doc_id bigint, source string, solid int, digest string, n int, first string, heads array<bigint>, reason string"
+    return rows.mapInArrow(_judge, schema).checkpoint()
 
 
-def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            data = text.encode("utf-8", "surrogatepass")
-            lengths = [g for g in _GRID if g <= len(data)]
-            if lengths:
-                digests = _prefix_digests(data, [*lengths, len(data)])
-                rows.append((doc_id, len(data), digests[-1], digests[:-1], not data.endswith((b"\n", b"\r", b" ", b"\t"))))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "digest", "heads", "midline"])
+def _continued(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """(n, digest, kind) of each different text that is a strict prefix of a longer one."""
+    ends = profile.select("n", "digest", "solid", "first", "heads").distinct()
+    found = _short_prefixes(ends).unionByName(_long_prefixes(docs, ends))
+    return ends.select("n", "digest").join(found, ["n", "digest"])
 
 
-def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text, wanted in zip(batch["text"], batch["lengths"]):
-            data = text.encode("utf-8", "surrogatepass")
-            lengths = sorted({int(n) for n in wanted if n < len(data)})
-            for n, digest in zip(lengths, _prefix_digests(data, lengths)):
-                if data[n : n + 1] not in (b"\n", b"\r") and data[n:].strip():
-                    rows.append((n, digest))
-        yield pd.DataFrame(rows, columns=["n_bytes", "digest"])
-
-
-def continued_elsewhere(docs: DataFrame) -> DataFrame:
-    """Ids of documents whose text is a strict prefix of a longer one that goes on within
-    the line. Equal heads form a group; of a group only its lengths are gathered, each
-    once, and each longer member hashes its own prefixes of those lengths: no pairs."""
-    texts = docs.select("doc_id", "text").filter(F.length("text") >= _GRID[0] // 4)
-    ensure_checkpoint_dir(docs.sparkSession)
-    # Some hundred bytes a text, read three times below.
-    heads = texts.mapInPandas(_heads, "doc_id bigint, n_bytes bigint, digest binary, heads array<binary>, midline boolean").checkpoint()
-    ends = heads.filter("midline").select(F.element_at("heads", -1).alias("head"), F.size("heads").alias("step"), "n_bytes", "digest", "doc_id")
-    lengths = ends.groupBy("step", "head").agg(F.collect_set("n_bytes").alias("lengths"))
-    spread = heads.select("doc_id", "n_bytes", F.posexplode("heads").alias("at", "head")).select("doc_id", "n_bytes", (F.col("at") + 1).alias("step"), "head")
-    longer = (
-        join_checked(spread, lengths, ["step", "head"], "inner", limit=200_000)
-        .select("doc_id", F.filter("lengths", lambda n: n < F.col("n_bytes")).alias("lengths"))
-        .filter(F.size("lengths") > 0)
-        .groupBy("doc_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("lengths"))).alias("lengths"))
-    )
-    prefixes = texts.join(longer, "doc_id").select("text", "lengths").mapInPandas(_prefixes, "n_bytes bigint, digest binary").distinct()
-    return ends.join(prefixes, ["n_bytes", "digest"], "left_semi").select("doc_id").distinct()
-
-
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def prefix_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, kind) of each document whose text, of whatever length, is a strict
+    prefix of a longer one elsewhere. ``kind`` says how the longest-reaching one of those goes
+    on: 0 with blanks alone, 1 after a line's end, 2 within the line."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").filter("text is not null")
+    profile = _profile(docs, judge=False)
+    return join_checked(profile.select("doc_id", "source", "n", "digest"), _continued(docs, profile), ["n", "digest"], "inner").select("doc_id", "source", "kind")
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(d, s, r) for d, s, t in zip(batch["doc_id"], batch["source"], batch["text"]) if (r := cut_reason(t))]
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "reason"])
+        reasons = pa.array([cut_reason(t) for t in batch.column("text").to_pylist()], pa.string())
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], reasons], names=[*kept, "reason"])
 
 
 def truncated_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, reason) of each cut text of ``docs`` (doc_id, source, text)."""
+    """(doc_id, source, reason, found_by) of each cut text of ``docs`` (doc_id, source, text):
+    found by ``prefix`` where a longer copy goes on within the line, else by its ``end``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").filter("text is not null")
-    ended = docs.mapInPandas(_judge, "doc_id bigint, source string, reason string")
-    joined = docs.select("doc_id", "source").join(continued_elsewhere(docs), "doc_id").withColumn("reason", F.lit("continued"))
-    return ended.unionByName(joined).groupBy("doc_id", "source").agg(F.min("reason").alias("reason"))
+    profile = _profile(docs, judge=True)
+    going_on = _continued(docs, profile).filter(F.col("kind") == MID_LINE).select("n", "digest", F.lit(True).alias("_longer"))
+    rows = join_checked(profile.select("doc_id", "source", "n", "digest", "reason"), going_on, ["n", "digest"])
+    found = rows.filter("_longer or reason is not null")
+    return found.select("doc_id", "source", F.when(F.col("_longer"), "continued").otherwise(F.col("reason")).alias("reason"), F.when(F.col("_longer"), "prefix").otherwise("end").alias("found_by")).distinct()

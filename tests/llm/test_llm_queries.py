@@ -8,6 +8,7 @@ import pytest
 
 from genoframe.llm import leaks, packing, percentiles, queries, truncation
 from genoframe.llm.format_duplicates import bare, count_copies, pairs_as_set, radix_buckets, runs_as_set
+from genoframe.operators.joins import join_checked
 from genoframe.tables import read_table
 from oracle import DATA, connect, difference
 
@@ -226,15 +227,32 @@ def test_ends_of_texts():
     assert [t for t in CUT if not truncation.cut_reason(t)] == []
 
 
-def test_continued_elsewhere_against_brute_force(spark):
+def _slow_kind(text, longer):
+    rest = longer[len(text) :]
+    if not rest.strip(" \t\r\n\f"):
+        return truncation.BLANKS
+    return truncation.LINE_END if text[-1] in "\r\n" or rest[0] in "\r\n" else truncation.MID_LINE
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_prefix_texts_against_brute_force(spark, monkeypatch, limit):
+    """Texts of any length, with null ids, copies, and joins with and without a broadcast."""
+    monkeypatch.setattr(truncation, "join_checked", lambda *a, **k: join_checked(*a, **k, limit=limit))
     rng = random.Random(9)
-    base = ["".join(rng.choice("ab \n") for _ in range(n)) for n in (100, 400, 900)]
-    texts = [b[:n] for b in base for n in (70, 100, 150, 399, 400, 640, 900)] + base[:1] * 3 + ["a", "", None, base[0] + "\nmore", base[1] + "more", base[2] + "  "]
-    rows = list(enumerate(texts))
-    want = {i for i, t in rows if t and len(t) >= 64 and t[-1] not in "\n \t" and any(u and len(u) > len(t) and u.startswith(t) and u[len(t)] != "\n" and u[len(t) :].strip() for u in texts)}
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r.doc_id for r in truncation.continued_elsewhere(df).collect()} == want
-    assert want
+    base = ["".join(rng.choice("ab \né") for _ in range(n)) for n in (100, 400, 900)]
+    texts = [b[:n] for b in base for n in (1, 2, 7, 62, 63, 64, 65, 70, 100, 127, 128, 150, 399, 400, 640, 900)] + base[:1] * 3
+    texts += ["a", "", None, " ", "\n", base[0] + "\nmore", base[1] + "more", base[2] + "  ", "The quick brown fox jum", "The quick brown fox jumps"]
+    rows = [(None if i % 5 == 0 else i, f"s{i}", t) for i, t in enumerate(texts)]
+    want = set()
+    for i, s, t in rows:
+        kinds = [_slow_kind(t, u) for u in texts if u and len(u) > len(t) and u.startswith(t)] if t and t.strip() else []
+        want |= {(i, s, max(kinds))} if kinds else set()
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    assert {tuple(r) for r in truncation.prefix_texts(df).collect()} == want
+    assert {k for _, _, k in want} == {0, 1, 2} and any(i is None for i, _, _ in want)
+    found = {(r.doc_id, r.source) for r in truncation.truncated_texts(df).collect() if r.found_by == "prefix"}
+    assert found == {(i, s) for i, s, k in want if k == truncation.MID_LINE}
+    assert truncation.prefix_texts(df.limit(0)).count() == 0 and truncation.prefix_texts(df.filter("length(text) > 899")).count() <= 3
 
 
 def test_truncated_texts_of_odd_rows(spark):
