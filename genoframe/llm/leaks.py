@@ -7,8 +7,10 @@ word's hash, so that windows a few edits apart stay close in Hamming distance. E
 ``reps`` repetitions samples ``samples`` places of the walked text as its bucket key.
 Windows that meet in a bucket are compared by their exact edit distance in words.
 
-Items are a stated query set: their keys are put into each task, in blocks of bounded
-size; every document is read whole, once per block. Equal windows walk alike, so they
+Items are a stated query set, taken in blocks of at most ``BLOCK_CHARS`` characters: only a
+block's texts are sent to the executors, and each Python worker builds the block's keys
+itself (some 26 bytes a character, so 80 MB at most). Every document is read whole, once
+per block. Equal windows walk alike, so they
 always meet. For windows up to ``edits`` edits apart recall depends on reps and samples
 (measured in the tests).
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window, the edits that are looked for, and the LSH's settings.
 WIDTH, EDITS, REPS, SAMPLES = 13, 2, 14, 8
-#: Characters of passages in one block of items.
-BLOCK_CHARS = 16_000_000
+#: Characters of passages in one block of items; a longer passage is a block of its own.
+BLOCK_CHARS = 3_000_000
 #: Bytes of text hashed, and windows walked, at a time.
 _TEXT_BYTES, _WINDOWS = 4_000_000, 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -140,8 +143,14 @@ class ItemIndex:
     windows: list[np.ndarray]
 
 
-def build_index(items: pd.DataFrame, width: int, reps: int, samples: int) -> ItemIndex:
-    words, owner = word_hashes(pa.array(items["passage"], pa.string()))
+@lru_cache(maxsize=1)
+def _built(block: bytes, width: int, reps: int, samples: int) -> ItemIndex:
+    """The index of a block of items, an Arrow stream; kept for the worker's next tasks."""
+    return build_index(pa.ipc.open_stream(block).read_all(), width, reps, samples)
+
+
+def build_index(items: pa.Table, width: int, reps: int, samples: int) -> ItemIndex:
+    words, owner = word_hashes(items.column("passage").combine_chunks())
     starts = window_starts(owner, width)
     # Equal windows of one item are one window.
     seen = pd.DataFrame({"o": owner[starts], **{i: words[starts + i] for i in range(width)}}).drop_duplicates().index.to_numpy() if len(starts) else starts
@@ -152,7 +161,7 @@ def build_index(items: pd.DataFrame, width: int, reps: int, samples: int) -> Ite
         order = np.argsort(key, kind="stable")
         keys.append(key[order])
         windows.append(order)
-    return ItemIndex(items["item_id"].to_numpy(), words, owner, starts, np.unique(words), keys, windows)
+    return ItemIndex(items.column("item_id").to_numpy(), words, owner, starts, np.unique(words), keys, windows)
 
 
 def _known(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -199,9 +208,9 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         yield int(rows[0]), texts.slice(int(rows[0]), len(rows))
 
 
-def _search(index, width: int, edits: int, samples: int):
+def _search(block, width: int, edits: int, reps: int, samples: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = index.value
+        items = _built(block.value, width, reps, samples)
         for batch in batches:
             for first, texts in _slices(batch.column("text")):
                 doc, item, window, far = near_windows(texts, items, width, edits, samples)
@@ -226,8 +235,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, edits: i
     out = None
     for b in range(blocks):
         # One block of the query set, of bounded size; the documents stay where they are.
-        block = items.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).toPandas()
-        index = spark.sparkContext.broadcast(build_index(block, width, reps, samples))
-        found = docs.mapInArrow(_search(index, width, edits, samples), "doc_id bigint, item_id bigint, n_windows bigint, edits int")
+        table = items.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        block = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        found = docs.mapInArrow(_search(block, width, edits, reps, samples), "doc_id bigint, item_id bigint, n_windows bigint, edits int")
         out = found if out is None else out.unionByName(found)
     return out

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genoframe.functions.names import contig_key
 from genoframe.llm.format_duplicates import bare, count_copies, pairs_as_set, runs_as_set
 from genoframe.llm.leaks import leaked_items
 from genoframe.llm.packing import pack_texts, token_counts
-from genoframe.llm.percentiles import merge_summaries, percentiles, summarise
+from genoframe.llm.percentiles import checked_ranks, merge_summaries, percentiles, summarise, values_of
 from genoframe.llm.truncation import prefix_texts, truncated_texts
 from genoframe.operators.joins import join_null_safe
 from genoframe.tables import read_table
@@ -37,9 +38,12 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).filter("sub_id = rep").select("sub_id", F.col("n").alias("n_copies"))
 
 
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "call_metrics").select("metric_id", "panel_id", "called_on", *METRICS).dropDuplicates()
+
+
 def _day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "call_metrics").select("metric_id", "panel_id", "called_on", *METRICS).dropDuplicates()
-    return summarise(rows, ["panel_id", "called_on"], METRICS)
+    return summarise(_metrics(spark, sf_dir), ["panel_id", "called_on"], METRICS)
 
 
 def p5_panel_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +56,18 @@ def p5_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(_day_summaries(spark, sf_dir), ["panel_id", "called_on", "metric"], POINTS)
 
 
+def p5_panel_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each percentile of a panel has a rank within its stated error."""
+    values = values_of(_metrics(spark, sf_dir), ["panel_id"], METRICS)
+    return checked_ranks(values, p5_panel_percentiles(spark, sf_dir), ["panel_id", "metric"])
+
+
+def p5_day_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per panel and day."""
+    values = values_of(_metrics(spark, sf_dir), ["panel_id", "called_on"], METRICS)
+    return checked_ranks(values, p5_day_percentiles(spark, sf_dir), ["panel_id", "called_on", "metric"])
+
+
 def p5_panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many values the merged summaries of each panel stand for."""
     return merge_summaries(_day_summaries(spark, sf_dir), ["panel_id", "metric"]).select("panel_id", "metric", F.col("n").alias("n_values"))
@@ -78,6 +94,20 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each text and capacity, whether its pieces follow one another without a gap, whether
+    it is divided only if it exceeds the capacity, and whether its containers hold no more than
+    they may."""
+    load = F.sum("n_tokens").over(W.partitionBy("spec_id", "container_id"))
+    rows = _packed(spark, sf_dir).withColumn("_load", load)
+    follows = (F.min("piece_no") == 1) & (F.max("piece_no") == F.count(F.lit(1))) & (F.sum("first_token") == F.first("capacity_tokens") * (F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2))
+    return rows.groupBy("spec_id", "doc_id").agg(
+        follows.alias("follows"),
+        ((F.count(F.lit(1)) == 1) | (F.sum("n_tokens") > F.first("capacity_tokens"))).alias("divided_only_if_long"),
+        F.bool_and(F.col("_load") <= F.col("capacity_tokens")).alias("fits"),
+    )
+
+
 def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with windows up to two word edits from an item's, and how near."""
     return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
@@ -121,8 +151,11 @@ QUERIES = {
     "p5_panel_percentiles": p5_panel_percentiles,
     "p5_day_percentiles": p5_day_percentiles,
     "p5_panel_counts": p5_panel_counts,
+    "p5_panel_checked": p5_panel_checked,
+    "p5_day_checked": p5_day_checked,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_placed": p7_placed,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p8_near": p8_near,
@@ -159,8 +192,11 @@ hits as (
 _P5 = """
 with once as (select distinct metric_id, panel_id, called_on, vcf_qual, call_depth, alt_freq from call_metrics),
 long as (
-  select panel_id, 'vcf_qual' as metric, vcf_qual as x from once union all select panel_id, 'call_depth', call_depth::double from once union all select panel_id, 'alt_freq', alt_freq from once)
-select panel_id, metric, count(*) as n_values from long where x >= 0 and not isnan(x) group by 1, 2"""
+  select panel_id, called_on, 'vcf_qual' as metric, vcf_qual as x from once union all select panel_id, called_on, 'call_depth', call_depth::double from once
+  union all select panel_id, called_on, 'alt_freq', alt_freq from once),
+panels as (select panel_id, metric, count(*) as n_values from long where x >= 0 and not isnan(x) group by all),
+days as (select panel_id, called_on, metric, count(*) as n_values from long where x >= 0 and not isnan(x) group by all)
+"""
 
 _P9 = r"""
 with solid as (select doc_id, text, length(text) as n from documents where regexp_matches(text, '[^ \t\r\n\f]')),
@@ -171,10 +207,13 @@ pairs as (
 select doc_id, (['blanks', 'line_end', 'mid_line'])[max(kind) + 1] as goes_on from pairs group by doc_id"""
 
 ORACLE = {
-    "p5_panel_counts": _P5,
+    "p5_panel_counts": _P5 + "select * from panels",
+    "p5_panel_checked": _P5 + "select *, unnest([1, 25, 50, 75, 95, 99])::int as pct, true as within from panels",
+    "p5_day_checked": _P5 + "select *, unnest([1, 25, 50, 75, 95, 99])::int as pct, true as within from days",
     "p4_found": _P4 + "select rep as sub_id, sub_id as dup_sub_id from counted where sub_id <> rep",
     "p4_records": _P4 + "select sub_id, n as n_copies from counted where sub_id = rep",
     "p8_found": _P8 + "select doc_id, item_id from hits",
+    "p7_placed": "select spec_id, doc_id, true as follows, true as divided_only_if_long, true as fits from documents, pack_specs",
     "p9_prefixes": _P9,
     "p8_items": _P8 + "select item_id, count(*) as n_docs, count(distinct source) as n_sources from hits join documents using (doc_id) group by 1",
 }

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from genoframe.llm import leaks, packing, percentiles, queries, truncation
 from genoframe.llm.format_duplicates import bare, count_copies, pairs_as_set, radix_buckets, runs_as_set
@@ -82,6 +83,9 @@ def test_summaries_stay_small_and_skip_missing(spark):
     df = spark.range(0, 200_000, numPartitions=4).selectExpr("1 as g", "cast(id as double) as x")
     got = percentiles.summarise(df, ["g"], ["x"], step=0.01).collect()
     assert len(got) == 1 and len(got[0].v) < 300 and got[0].n == 200_000
+    # What leaves the partitions is a small part of the values already.
+    sent = percentiles.partition_summaries(df, ["g"], ["x"], 0.001).select("n", F.size("v").alias("tuples")).collect()
+    assert len(sent) == 4 and sum(r.n for r in sent) == 200_000 and sum(r.tuples for r in sent) < 5000
     nothing = spark.createDataFrame([(1, None), (2, float("nan")), (3, -1.0)], "g int, x double")
     assert percentiles.summarise(nothing, ["g"], ["x"]).count() == 0
     assert percentiles.summarise(nothing.limit(0), ["g"], ["x"]).count() == 0
@@ -110,16 +114,58 @@ def test_packing_keeps_all_texts_within_capacity(spark):
     assert packing.pack_texts(df, "doc_id", specs.limit(0)).count() == 0
 
 
-def test_fill_is_near_the_bound():
+def _best_fit_decreasing(sizes, capacity):
+    loads, held = [], []
+    for n in sorted(sizes, reverse=True):
+        room = [(capacity - x - n, k) for k, x in enumerate(loads) if x + n <= capacity]
+        at = min(room)[1] if room else len(loads)
+        if not room:
+            loads.append(0)
+            held.append([])
+        loads[at] += n
+        held[at].append(n)
+    return held
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tiers_fill_no_worse_than_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    sizes = [min(1000, int(rng.expovariate(1 / rng.choice([40, 200, 500]))) + 1) for _ in range(3000)] + [0, 0]
+    tiers = packing.context_tiers(1000, [100, 300, 1000, 4000])
+    assert tiers == [100, 300, 1000]
+    container, loads, costs = packing.fill_containers(sizes, tiers)
+    plain = _best_fit_decreasing(sizes, 1000)
+    want, held = Counter(), defaultdict(list)
+    for n, c in sorted(zip(sizes, container), reverse=True):
+        want[c] += n
+        held[c].append(n)
+    assert [want[c] for c in range(len(loads))] == loads and max(loads) <= 1000 and sum(loads) == sum(sizes)
+    assert len(loads) <= len(plain) and sorted(held.values()) != sorted(plain)
+    assert costs[0] >= 500**2 and packing.context_tiers(1000, [1000]) == [250, 500, 1000]
+    # All in one tier gives another arrangement: tiers decide what fills which gap.
+    assert packing.fill_containers(sizes, [1000])[0] != container
+
+
+def test_a_gap_is_filled_from_the_next_shorter_tier():
+    # 70 and 60 stand alone in their tier; 60 has the larger gap, so 70 is filled first.
+    container, loads, _ = packing.fill_containers([70, 60, 20, 19, 15, 9, 1], [10, 20, 100])
+    assert loads == [100, 94] and container[0] == container[2] == container[5] == container[6] and container[1] == container[3] == container[4]
+    assert packing.fill_containers([], [10])[1] == [] and packing.fill_containers([0], [10])[1] == [0]
+
+
+def test_step_groups_are_even_across_shards():
     rng = random.Random(2)
-    sizes = [min(1000, int(rng.expovariate(1 / 200)) + 1) for _ in range(5000)]
-    window, loads = packing.fill_windows(sizes, 1000)
-    assert len(loads) <= 1.01 * -(-sum(sizes) // 1000) + 1 and sum(loads) == sum(sizes)
-    steps = packing.step_groups(loads)
-    per = Counter()
-    for w, s in enumerate(steps):
-        per[s] += loads[w]
-    assert max(per.values()) - min(per.values()) <= 2 * 1000
+    shards = [[int(rng.expovariate(1 / 1000)) for _ in range(rng.randrange(180, 221))] for _ in range(40)]
+    steps = sum(map(len, shards)) // packing.STEP_CONTAINERS
+    n, cost = Counter(), Counter()
+    for k, costs in enumerate(shards):
+        for c, s in zip(costs, packing.step_groups(costs, steps, k, len(shards))):
+            n[s] += 1
+            cost[s] += c
+    mean = sum(cost.values()) / steps
+    assert len(n) == steps and max(n.values()) <= packing.STEP_CONTAINERS + 2
+    # Containers thrown together at random spread far wider.
+    assert max(cost.values()) < 2 * mean
 
 
 def test_token_counts_of_odd_texts(spark):
@@ -178,7 +224,7 @@ def test_recall_of_near_windows():
         q[10] = rng.choice(vocabulary)
         q.insert(20, rng.choice(vocabulary))
         docs.append(" ".join(q))
-    items = pd.DataFrame({"item_id": range(40), "passage": [" ".join(p) for p in passages]})
+    items = pa.table({"item_id": list(range(40)), "passage": [" ".join(p) for p in passages]})
     index = leaks.build_index(items, 13, leaks.REPS, leaks.SAMPLES)
     doc, item, window, far = leaks.near_windows(pa.array(docs), index, 13, 2, leaks.SAMPLES)
     found = Counter(far.tolist())
