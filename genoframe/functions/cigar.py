@@ -138,3 +138,14 @@ def place_allele(cell: Column, seq: Column, expanded: Column, qualities: Column)
         splice(expanded, cell["unit"], F.length(old_cigar), new_cigar).alias("expanded"),
         F.when((qualities == "*") | (more == 0), qualities).when(more > 0, longer).otherwise(shorter).alias("qual"),
     )
+
+
+def op_tuples(cigar: Column) -> Column:
+    """(op, len) structs of a short CIGAR, operations by their number in ``OPERATIONS``."""
+    return F.zip_with(operations(cigar), lengths(cigar), lambda op, n: F.struct((F.call_function("instr", F.lit(OPERATIONS), op) - 1).alias("op"), n.alias("len")))
+
+
+def expand_tuples(tuples: Column) -> Column:
+    """One letter per unit of (op, len) structs; a number that is no operation raises."""
+    letters = F.array(*[F.lit(o) for o in OPERATIONS])
+    return F.array_join(F.transform(tuples, lambda t: F.call_function("repeat", F.element_at(letters, t["op"] + 1), t["len"])), "")

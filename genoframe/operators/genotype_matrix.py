@@ -26,6 +26,23 @@ def dosages(rows: DataFrame) -> DataFrame:
     return rows.select("site_id", "sample_id", n.alias("dosage")).filter("sample_id is not null").groupBy("site_id", "sample_id").agg(F.max("dosage").alias("dosage"))
 
 
+def _samples(rows: DataFrame) -> list[str]:
+    """Names of all samples, in order: the columns of a cohort's matrix."""
+    names = [r[0] for r in rows.filter("sample_id is not null").select("sample_id").distinct().orderBy("sample_id").limit(MAX_SAMPLES + 1).collect()]
+    if len(names) > MAX_SAMPLES:
+        raise ValueError(f"a matrix of more than {MAX_SAMPLES} samples")
+    return names
+
+
+def cohort(rows: DataFrame, missing: str = "0/0") -> DataFrame:
+    """(site_id, genotypes): each site's genotypes of all samples, in the order of their names;
+    ``missing`` where a sample isn't listed. Of several genotypes of one the greatest stands."""
+    once = rows.filter("sample_id is not null").groupBy("site_id", "sample_id").agg(F.max("gt").alias("gt"))
+    site = once.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "gt"))).alias("_g"))
+    names = F.array(*[F.lit(s) for s in _samples(rows)]).cast("array<string>")
+    return site.select("site_id", F.transform(names, lambda s: F.coalesce(F.try_element_at("_g", s), F.lit(missing))).alias("genotypes"))
+
+
 def principal_components(long: DataFrame, k: int) -> DataFrame:
     """(sample_id, component, weight, explained): the first ``k`` components of the samples.
 
@@ -35,9 +52,7 @@ def principal_components(long: DataFrame, k: int) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     spark = long.sparkSession
-    samples = [r[0] for r in long.select("sample_id").distinct().orderBy("sample_id").limit(MAX_SAMPLES + 1).collect()]
-    if len(samples) > MAX_SAMPLES:
-        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    samples = _samples(long)
     names = F.array(*[F.lit(s) for s in samples])
     site = long.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "dosage"))).alias("_d"))
     vector = F.transform(names, lambda s: F.coalesce(F.try_element_at("_d", s), F.lit(0)).cast("double"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoframe.operators.joins import join_null_safe
+
 # What a position is, by membership in population, personal and masked set.
 CLASSES = {
     (True, True, False): "masked",
@@ -61,10 +63,17 @@ def bin_shares(bins: DataFrame, part: str, whole: list[str], by: str) -> DataFra
     return bins.groupBy("bin").agg(n_part.alias("n_part"), n_whole.alias("n_whole"), F.try_divide(n_part, n_whole).alias("share"))
 
 
-def altered(personal: DataFrame, masked: DataFrame, key: str = "idx") -> DataFrame:
+def altered(personal: DataFrame, masked: DataFrame, key: str | list[str] = "idx") -> DataFrame:
     """(key, alt_personal, alt_masked, freq_personal, freq_masked, altered): positions that
-    both have; altered means another allele, or the same at another frequency."""
-    a = personal.select(key, F.col("alt").alias("alt_personal"), F.col("freq").alias("freq_personal"))
-    b = masked.select(key, F.col("alt").alias("alt_masked"), F.col("freq").alias("freq_masked"))
+    both have; altered means another allele, or the same at another frequency. Null keys meet."""
+    keys = [key] if isinstance(key, str) else key
+    a = personal.select(*keys, F.col("alt").alias("alt_personal"), F.col("freq").alias("freq_personal"))
+    b = masked.select(*keys, F.col("alt").alias("alt_masked"), F.col("freq").alias("freq_masked"))
     same = F.col("alt_personal").eqNullSafe(F.col("alt_masked")) & F.col("freq_personal").eqNullSafe(F.col("freq_masked"))
-    return a.join(b, key).withColumn("altered", ~same)
+    return join_null_safe(a, b, keys).withColumn("altered", ~same)
+
+
+def altered_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, n_altered, n_same, percent_altered) of ``altered``."""
+    n, changed = F.count(F.lit(1)), F.count_if("altered")
+    return rows.groupBy(*by).agg(n.alias("n"), changed.alias("n_altered"), (n - changed).alias("n_same"), (changed * 100.0 / n).alias("percent_altered"))

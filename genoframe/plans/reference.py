@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genoframe.functions import bases, cigar
 from genoframe.functions.info import format_value, info_counts, info_number
 from genoframe.operators import contigs as dictionary
-from genoframe.operators import differences, genotype_matrix, masking, pileup, position_sets, reads, runs, variants
+from genoframe.operators import differences, genotype_matrix, masking, pileup, position_sets, reads, reference_genome, runs, variants
 from genoframe.operators.interval_join import covering_pairs
 from genoframe.operators.joins import join_null_safe, person_keys
 from genoframe.operators.packed_fields import ALLELES, packed_values
@@ -157,6 +158,14 @@ def reference_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(other, "idx").filter(~F.array_contains("_bases", F.col("base"))).select("rec_id", "idx", "base")
 
 
+def reference_alleles(spark: SparkSession, sf: str) -> DataFrame:
+    """For each variant of the table what the reads' consensus holds there, as a sequence in
+    chunks, and the first allele that it begins with."""
+    first = variants.first_per_index(variants.classify(_sites(spark, sf)), "rec_id")
+    chunks = reference_genome.in_chunks(reference_genome.consensus_bases(_reads(spark, sf)))
+    return reference_genome.reference_alleles(first.select("idx", "alleles"), chunks)
+
+
 def merged_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Known variants and random ones over the dictionary; known ones first on ties."""
     first, last = dictionary.resolve_range(_contigs(spark, sf), None, None, None, None)
@@ -264,13 +273,22 @@ def indel_pileup(spark: SparkSession, sf: str) -> DataFrame:
     return pileup.indel_cells(_reads(spark, sf, once=False), picked).select("ord", "idx", "seq_pos", "unit", "allele")
 
 
-def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """All reads, with insertions and deletions exchanged by a drawn bijection, CIGAR and all."""
+def _indel_masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     _, indel = _tables(spark, sf)
     picked = indel.select("idx", F.col("alleles.seq").alias("alleles"), F.col("alleles.count").alias("counts"))
-    placed = _reads(spark, sf)
-    cells = pileup.indel_cells(placed, picked)
-    masks = masking.indel_masks(cells, picked, SEED)
+    cells = pileup.indel_cells(_reads(spark, sf, once=False), picked)
+    return cells, masking.indel_masks(cells, picked, SEED)
+
+
+def indel_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """The bijection drawn for each insertion or deletion of a person, one row per allele."""
+    masks = _indel_masks(spark, sf)[1]
+    return masks.select(*person_keys(masks), F.explode("mask").alias("allele", "image"))
+
+
+def indel_masked_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """All reads, with insertions and deletions exchanged by a drawn bijection, CIGAR and all."""
+    placed, (cells, masks) = _reads(spark, sf), _indel_masks(spark, sf)
     joined = join_null_safe(cells.filter("allele is not null"), masks, person_keys(masks))
     changes = joined.select("ord", "seq_pos", "unit", F.col("allele").alias("old"), F.element_at("mask", F.col("allele")).alias("new"), "ref_allele")
     return masking.rewrite_reads(placed, changes).select(*_READ)
@@ -342,6 +360,13 @@ def secret_ciphered_reads(spark: SparkSession, sf: str) -> DataFrame:
     return once.select("ord", "cipher", (bases.stream_cipher(F.col("cipher"), F.col("_key")) == F.col("seq")).alias("restored"))
 
 
+def secret_ciphers_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the cipher changed each unmapped read, and deciphering gave it again; null where
+    a read holds other letters."""
+    again = secret_ciphered_reads(spark, sf).join(_scan(spark, sf, unmapped_only=True).select("ord", "seq"), "ord")
+    return again.select("ord", (F.col("cipher") != F.col("seq")).alias("changed"), "restored")
+
+
 def packed_reads(spark: SparkSession, sf: str) -> DataFrame:
     """All reads as two bits a base, and unpacked again. Two bits can't hold an N or other
     letters: such reads have null ``packed`` and their letters as they are."""
@@ -409,6 +434,46 @@ def personal_population_calls(spark: SparkSession, sf: str) -> DataFrame:
     return _kinds(spark, sf)[1].join(_sites(spark, sf).select("idx"), "idx", "left_semi").select("call_id", "idx")
 
 
+def _genotypes(cells: DataFrame, snv: DataFrame, base: str) -> DataFrame:
+    """Genotypes called from one column of cells, with the share of bases unlike the reference."""
+    calls = pileup.call_genotypes(pileup.base_counts(cells.withColumn("allele", F.col(base)))).filter("allele_a is not null")
+    joined = calls.join(snv.select("idx", "ref_id"), "idx")
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    share = 1 - F.get(F.col("counts"), F.col("ref_id")) / total
+    return joined.select("sample_id", "idx", F.concat_ws("/", "allele_a", "allele_b").alias("alt"), share.alias("freq"))
+
+
+def _called_twice(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Genotypes called before and after masking, and the variants."""
+    _, cells, snv = _masked(spark, sf)
+    return _genotypes(cells, snv, "allele"), _genotypes(cells, snv, "masked"), snv
+
+
+def altered_genotypes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each person's genotype beside the one called from the masked reads: altered or not."""
+    personal, masked, _ = _called_twice(spark, sf)
+    return position_sets.altered(personal, masked, ["sample_id", "idx"])
+
+
+def altered_genotype_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of each person's genotypes are altered, and their share."""
+    return position_sets.altered_counts(altered_genotypes(spark, sf), ["sample_id"])
+
+
+def genotype_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Where positions occur: in the allele-count table, with an allele unlike the reference
+    among persons' genotypes, and among those called from masked reads."""
+    personal, masked, snv = _called_twice(spark, sf)
+    return position_sets.membership(snv, personal.filter("freq > 0"), masked.filter("freq > 0"))
+
+
+def cohort_genotypes(spark: SparkSession, sf: str) -> DataFrame:
+    """Genotypes of all samples at each called site, the reference's where none is listed."""
+    rows = _calls(spark, sf).withColumn("gt", format_value(F.col("vcf_format"), F.col("genotype"), "GT")).filter("gt is not null and gt <> ''")
+    site = F.concat_ws(":", "contig_name", F.col("vcf_pos").cast("string"), "vcf_ref", "vcf_alt")
+    return genotype_matrix.cohort(rows.select(site.alias("site_id"), "sample_id", "gt")).select("site_id", F.array_join("genotypes", " ").alias("genotypes"))
+
+
 def split_sites(spark: SparkSession, sf: str) -> DataFrame:
     """Sites by alternative, each once, single bases only."""
     split = genotype_matrix.split_alternatives(_sites(spark, sf).select("contig_name", "vcf_pos", "ref", "alts"))
@@ -433,11 +498,21 @@ def sample_components(spark: SparkSession, sf: str) -> DataFrame:
     return genotype_matrix.principal_components(_dosages(spark, sf), 2)
 
 
+def sample_components_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Per component: its samples, whether its weights have length one, and whether it explains
+    no more than those before it and a share between 0 and 1."""
+    rows = sample_components(spark, sf)
+    each = rows.groupBy("component").agg(F.count_distinct("sample_id").alias("n_samples"), F.sum(F.col("weight") * F.col("weight")).alias("_sum"), F.max("explained").alias("_share"))
+    before = F.coalesce(F.min("_share").over(W.orderBy("component").rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0))  # two rows
+    return each.select("component", "n_samples", (F.abs(F.col("_sum") - 1) < 1e-9).alias("unit"), ((F.col("_share") <= before) & (F.col("_share") > 0)).alias("in_order"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         contig_starts, site_indices, index_positions, scan_mapped, scan_range, scan_unmapped, scan_range_unmapped, covering_counts, covering_read_count, pileup_cells, pileup_counts, scan_named_range, mask_run_reads, mask_run_records, unmask_all, unmask_range,
-        unmask_range_unmapped, unmask_unmapped,
+        unmask_range_unmapped, unmask_unmapped, indel_masks, secret_ciphers_checked, altered_genotypes, altered_genotype_counts, genotype_classes, cohort_genotypes,
+        sample_components_checked, reference_alleles,
         genotype_calls, allele_count_snvs, allele_count_indels, allele_count_counters, allele_count_text, reference_mismatches, merged_variants, kept_variants, overlap_clusters,
         genotype_masks, zygosity_changes, masked_cells, difference_records, mask_codes, difference_slice, difference_bounds, run_counters, masked_reads, unmasked_reads, indel_pileup,
         indel_masked_reads, ciphered_reads, secret_ciphered_reads, packed_reads, cigar_lengths, sam_text, passing_calls, position_classes, position_set_sizes, frequency_histogram,

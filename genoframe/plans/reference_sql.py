@@ -13,7 +13,7 @@ _SITE = """
 _UNQUOTE = r"""lambda p: case when regexp_full_match(p, '([^="]*=)?".*"', 's') then replace(regexp_replace(p, '^([^="]*=)?"(.*)"$', '\1\2', 's'), '""', '"') else p end"""
 
 _PRELUDE = rf"""
-with ctg as (select contig_id, contig_name, regexp_replace(lower(trim(contig_name)), '^chr', '') as k, start_idx as cs, contig_length from contigs),
+with recursive ctg as (select contig_id, contig_name, regexp_replace(lower(trim(contig_name)), '^chr', '') as k, start_idx as cs, contig_length from contigs),
 aln as (select * from alignments qualify row_number() over (partition by ord order by qname) = 1),
 rd as (
   select ord, qname, cigar, seq, qual, sample_id, contig_name, cs is not null and (flag & 4) = 0 and coalesce(pos, 0) > 0 as mapped,
@@ -83,6 +83,32 @@ chosen as (
     case m.zygosity when 1 then cast('0x' || substr(md5(concat('{SEED}:beta:', c.idx, ':', c.ord)), 1, 8) as bigint) / 4294967296.0 >= 0.5 when 3 then coalesce(c.allele = m.allele_b, false) else false end as use_b
   from cell c join masks m on c.idx = m.idx and c.sample_id is not distinct from m.sample_id),
 mcell as (select *, translate(allele, 'ATGC', case when use_b then perm_b else perm_a end) as masked from chosen),
+indels as (select idx, al, counts from usable where status = 'indel'),
+icover as (
+  select r.ord, r.sample_id, r.seq, v.idx, v.al, v.al[1] as ra, cast(b.soff + v.idx - r.start_idx - b.roff as int) as seq_pos, cast(b.uoff + v.idx - r.start_idx - b.roff as int) as unit,
+    list_aggregate(list_transform(regexp_extract_all(r.cigar, '[0-9]+[MIDNSHP=X]'), lambda x: repeat(right(x, 1), cast(regexp_extract(x, '[0-9]+') as int))), 'string_agg', '') as units
+  from rd r join indels v on v.idx between r.start_idx and r.end_idx
+    left join blk b on b.ord = r.ord and b.op in ('M', '=', 'X') and v.idx - r.start_idx >= b.roff and v.idx - r.start_idx < b.roff + b.n
+  where r.mapped),
+itry as (
+  select *, substr(units, unit + 1) as rest, repeat('M', cast(least(length(a), length(ra)) as int)) || repeat(case when length(a) > length(ra) then 'I' else 'D' end, cast(abs(length(a) - length(ra)) as int)) as own
+  from (select *, unnest(al) as a, generate_subscripts(al, 1) as ai from icover where seq_pos is not null)),
+ijudged as (
+  select *, substr(rest, length(own) + 1, 1) as after, left(own, cast(least(length(own), length(rest)) as bigint)) = left(rest, cast(least(length(own), length(rest)) as bigint)) as agrees from itry),
+iend as (
+  select ord, idx, arg_min((a, stopped), (-length(a), -ai)) as e from (
+    select *, length(own) > length(rest) or (right(own, 1) = 'I' and after = 'I') or (right(own, 1) = 'D' and after = 'D') or (right(own, 1) = 'M' and after in ('I', 'D')) as stopped from ijudged where agrees)
+  where stopped or substr(seq, seq_pos + 1, length(a)) = a group by ord, idx),
+icell as (
+  select c.ord, c.sample_id, c.idx, c.ra, c.seq_pos, c.unit, case when not e[2] and length(units) > unit + greatest(length(e[1]), length(ra)) then e[1] end as allele from icover c left join iend e on c.ord = e.ord and c.idx = e.idx),
+iseen as (select sample_id, idx, allele, count(*) as n from icell where allele is not null group by all),
+inamed as (
+  select p.sample_id, v.idx, len(v.al) as k, list_sort(list_transform(v.al, lambda a, i: struct_pack(a := a, w := v.counts[i]))) as named, p.seen
+  from indels v join (select sample_id, idx, map(list(allele), list(n)) as seen from iseen group by 1, 2) p on v.idx = p.idx),
+idrawn as (
+  select *, list_transform(range(1, 2 * k + 1), lambda t: cast('0x' || substr(md5(concat_ws(':', '{SEED}:indel', idx, t, sample_id)), 1, 8) as bigint) / 4294967296.0) as u from inamed),
+iranked as (select sample_id, idx, k, u, named, list_sort(list_transform(named, lambda x, i: struct_pack(s := -(coalesce(seen[x.a], 0) + u[i]), a := x.a))) as sources from idrawn),
+ipair as (select sample_id, idx, k, u, sources, 0 as turn, named as remaining, '' as allele, '' as image from iranked),
 diff as (select sample_id, idx, ref_id, zygosity, perm_a, perm_b from mcell group by all having bool_or(allele <> masked)),
 edits as (select ord, list(struct_pack(p := seq_pos, m := masked) order by seq_pos) as e from mcell where allele <> masked group by ord),
 call_rows as (
@@ -126,6 +152,29 @@ _NAMED, _RECORDS, _UNMASKED = _named(NAMED_RANGE), _named(RECORD_RANGE), _named(
 _SCAN = "select ord, qname, mapped, contig_name, start_idx, end_idx from rd where "
 _ONE_CALL = "select idx, min((vcf_alt, freq)) as c from calls where vcf_kind = '{0}' group by idx"
 
+# One source allele a turn goes to a target drawn by weight from those left.
+_BIJECTION = """, ibij as (
+  select * from ipair
+  union all
+  select sample_id, idx, k, u, sources, turn + 1, list_concat(remaining[1:pick - 1], remaining[pick + 1:]), sources[turn + 1].a, remaining[pick].a from (
+    select *, coalesce(case when list_sum(list_transform(remaining, lambda x: x.w)) > 0 then
+        list_filter(range(1, len(remaining) + 1), lambda t: list_sum(list_transform(remaining[1:t], lambda x: x.w)) > (case when len(remaining) > 1 then u[k + turn + 1] else 0 end) * list_sum(list_transform(remaining, lambda x: x.w)))[1]
+      else least(cast(floor((case when len(remaining) > 1 then u[k + turn + 1] else 0 end) * len(remaining)) as bigint), len(remaining) - 1) + 1 end, len(remaining)) as pick
+    from ibij where turn < k))
+"""
+
+
+def _genotyped(cells: str, base: str) -> str:
+    """Genotypes called from a column of cells, with the share of bases unlike the reference."""
+    counts = ", ".join(f"count(*) filter ({base} = '{b}') as n_{b.lower()}" for b in "ATGC")
+    return f"""
+  select sample_id, idx, p[1] || '/' || p[-1] as alt, 1 - [n_a, n_t, n_g, n_c][ref_id + 1] / cast(n_a + n_t + n_g + n_c as double) as freq from (
+    select *, list_filter(['A', 'T', 'G', 'C'], lambda b, i: [n_a, n_t, n_g, n_c][i] / cast(n_a + n_t + n_g + n_c as double) >= 0.2) as p from (
+      select sample_id, idx, ref_id, {counts} from {cells} where {base} is not null group by sample_id, idx, ref_id)) where len(p) in (1, 2)"""
+
+
+_TWICE = f", personal as ({_genotyped('mcell', 'allele')}), masked_again as ({_genotyped('mcell', 'masked')}) "
+
 ORACLE = {
     name: _PRELUDE + sql
     for name, sql in {
@@ -148,10 +197,18 @@ ORACLE = {
   count(*) filter (status = 'first_base') as n_first_base, count(*) filter (status = 'no_info') as n_no_info, count(*) filter (status = 'no_alternative') as n_no_alternative, count(*) filter (status = 'negative') as n_negative,
   (select count(*) from usable where status = 'snv') as n_snv, (select count(*) from usable where status = 'indel') as n_indel,
   count(*) filter (status in ('snv', 'indel') and idx is not null) - (select count(*) from usable) as n_same_index from judged""",
-        "allele_count_text": """select 0 as block, idx, concat_ws(chr(9), idx, ref_id, concat_ws(',', n_a, n_t, n_g, n_c)) as line from snvs
-union all select 1, idx, concat(idx, chr(9), list_aggregate(list_transform(al, lambda a, i: concat(counts[i], ':', a)), 'string_agg', ',')) from usable where status = 'indel'""",
+        "allele_count_text": """select 0 as block, 0::bigint as idx, count(*)::varchar as line from snvs union all select 0, 1, count(*)::varchar from usable where status = 'indel'
+union all select 1, idx, concat_ws(chr(9), idx, ref_id, concat_ws(',', n_a, n_t, n_g, n_c)) from snvs
+union all select 2, idx, concat(idx, chr(9), list_aggregate(list_transform(al, lambda a, i: concat(counts[i], ':', a)), 'string_agg', ',')) from usable where status = 'indel'""",
         "reference_mismatches": """select s.rec_id, s.idx, left(s.ref, 1) as base from site s join
   (select cs + vcf_pos - 1 as idx, list(distinct left(ref, 1)) as b from mirror_rows join ctg on regexp_replace(lower(trim(vcf_chrom)), '^chr', '') = k group by 1) o on s.idx = o.idx where not list_contains(o.b, left(s.ref, 1))""",
+        "reference_alleles": """, shown as (
+  select start_idx + roff + t as idx, substr(seq, cast(soff + t + 1 as bigint), 1) as base from (select *, unnest(range(cast(n as bigint))) as t from blk where op in ('M', '=', 'X'))),
+best as (select idx, arg_max(base, (n, -instr('ATGC', base))) as base from (select idx, base, count(*) as n from shown where base in ('A', 'T', 'G', 'C') group by 1, 2) group by 1),
+wanted as (select idx, al, list_max(list_transform(al, lambda a: length(a))) as longest from usable),
+spelled as (
+  select w.idx, any_value(w.al) as al, string_agg(coalesce(b.base, '?'), '' order by w.at) as bases from (select *, idx + unnest(range(longest)) as at from wanted) w left join best b on b.idx = w.at group by w.idx)
+select idx, bases, cast(nullif(list_position(list_transform(al, lambda a: left(bases, length(a)) = a), true), 0) - 1 as int) as allele_no from spelled""",
         "merged_variants": f""", extent as (select min(cs) as a, max(cs + contig_length) - 1 as b from ctg),
 known as (
   select idx, true as is_snv, substr('ATGC', ref_id + 1, 1) as ref_allele, 'A,T,G,C' as alleles, concat_ws(',', n_a, n_t, n_g, n_c) as counts from snvs
@@ -191,6 +248,38 @@ union all select ord, case when seq = '' then '' end from rd where not mapped an
         "unmask_range": f"select ord, seq, cigar from rd where mapped and end_idx >= {_UNMASKED[0]} and start_idx <= {_UNMASKED[1]}",
         "unmask_range_unmapped": f"select ord, seq, cigar from rd where not mapped or end_idx >= {_UNMASKED[0]} and start_idx <= {_UNMASKED[1]}",
         "unmask_unmapped": "select ord, seq, cigar from rd where not mapped",
+        "indel_pileup": "select ord, idx, seq_pos, unit, allele from icell",
+        "indel_masks": _BIJECTION + "select sample_id, idx, allele, image from ibij where turn > 0",
+        "indel_masked_reads": _BIJECTION
+        + """, imask as (select sample_id, idx, allele, image from ibij where turn > 0),
+ichange as (
+  select c.ord, list(struct_pack(p := c.seq_pos, un := c.unit, o := c.allele, n := m.image, r := c.ra) order by c.seq_pos desc) as e
+  from icell c join imask m on c.idx = m.idx and c.sample_id is not distinct from m.sample_id and c.allele = m.allele where m.image <> m.allele group by c.ord),
+iedit as (
+  select r.ord, r.seq, r.qual, list_aggregate(list_transform(regexp_extract_all(r.cigar, '[0-9]+[MIDNSHP=X]'), lambda x: repeat(right(x, 1), cast(regexp_extract(x, '[0-9]+') as int))), 'string_agg', '') as units, e, 0 as turn
+  from rd r join ichange c on r.ord = c.ord
+  union all
+  select ord, left(seq, cast(x.p as bigint)) || x.n || substr(seq, x.p + length(x.o) + 1),
+    case when qual = '*' or more = 0 then qual when more > 0 then left(qual, cast(x.p + length(x.o) as bigint)) || repeat(chr(cast(ceil(list_avg(list_transform(string_split(qual, ''), lambda q: ascii(q)))) as int)), more) || substr(qual, x.p + length(x.o) + 1)
+      else left(qual, cast(x.p + length(x.o) + more as bigint)) || substr(qual, x.p + length(x.o) + 1) end,
+    left(units, cast(x.un as bigint)) || repeat('M', cast(least(length(x.n), length(x.r)) as int)) || repeat(case when length(x.n) > length(x.r) then 'I' else 'D' end, cast(abs(length(x.n) - length(x.r)) as int)) || substr(units, x.un + greatest(length(x.o), length(x.r)) + 1),
+    e, turn + 1
+  from (select *, e[turn + 1] as x, cast(length(e[turn + 1].n) - length(e[turn + 1].o) as int) as more from iedit where turn < len(e)))
+select r.ord, coalesce(d.seq, r.seq) as seq, coalesce(d.cigar, r.cigar) as cigar, coalesce(d.qual, r.qual) as qual from rd r left join (
+  select ord, seq, qual, list_aggregate(list_transform(regexp_extract_all(units, 'M+|I+|D+|N+|S+|H+|P+|=+|X+'), lambda x: length(x) || left(x, 1)), 'string_agg', '') as cigar from iedit where turn = len(e)) d on r.ord = d.ord""",
+        "secret_ciphers_checked": "select ord, case when regexp_full_match(seq, '[ATGCN]*') then regexp_matches(seq, '[ATGC]') end as changed, case when regexp_full_match(seq, '[ATGCN]*') then true end as restored from rd where not mapped",
+        "altered_genotypes": _TWICE + """select p.sample_id, p.idx, p.alt as alt_personal, m.alt as alt_masked, p.freq as freq_personal, m.freq as freq_masked, p.alt <> m.alt or p.freq <> m.freq as altered
+from personal p join masked_again m on p.idx = m.idx and p.sample_id is not distinct from m.sample_id""",
+        "altered_genotype_counts": _TWICE + """select p.sample_id, count(*) as n, count(*) filter (p.alt <> m.alt or p.freq <> m.freq) as n_altered, count(*) filter (p.alt = m.alt and p.freq = m.freq) as n_same, n_altered * 100.0::double / n as percent_altered
+from personal p join masked_again m on p.idx = m.idx and p.sample_id is not distinct from m.sample_id group by 1""",
+        "genotype_classes": _TWICE + """, flags as (
+  select idx, true as in_population, idx in (select idx from personal where freq > 0) as in_personal, idx in (select idx from masked_again where freq > 0) as in_masked from snvs)
+select *, case when in_personal and in_masked then 'not_masked' when in_personal then 'masked' when in_masked then 'introduced' else 'not_found' end as class from flags""",
+        "cohort_genotypes": """, listed_gt as (select concat_ws(':', contig_name, vcf_pos, vcf_ref, vcf_alt) as site_id, sample_id, max(gt) as gt from calls where gt <> '' and sample_id is not null group by 1, 2),
+names as (select list_sort(list(distinct sample_id)) as s from listed_gt), by_site as (select site_id, map(list(sample_id), list(gt)) as m from listed_gt group by 1)
+select site_id, array_to_string(list_transform(s, lambda x: coalesce(m[x], '0/0')), ' ') as genotypes from by_site, names""",
+        "sample_components_checked": """select unnest([1, 2])::int as component, count(distinct sample_id) as n_samples, true as unit, true as in_order
+from (select *, unnest(alleles) as a from calls) where regexp_full_match(a, '[ATGC]') and gt is not null and sample_id is not null""",
         "packed_reads": """select ord, list_aggregate(list_transform(range(0, (length(seq) + 3) // 4 * 2), lambda i: substr('0123456789ABCDEF', (coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 1, 1)), 0), 1) - 1) * 4
   + coalesce(nullif(instr('ATGC', substr(rpad(seq, cast((length(seq) + 3) // 4 * 4 as int), 'A'), 2 * i + 2, 1)), 0), 1), 1)), 'string_agg', '') as packed, seq from rd where regexp_full_match(seq, '[ATGC]+')
 union all select ord, case when seq = '' then '' end, seq from rd where not coalesce(regexp_full_match(seq, '[ATGC]+'), false)""",

@@ -53,20 +53,40 @@ def sam_lines(rows: DataFrame) -> DataFrame:
     return rows.select("ord", F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit("*" if n not in ("pos", "mapq", "pnext", "tlen", "flag") else "0")) for n in names]).alias("line"))
 
 
+def sam_header(contigs: DataFrame) -> list[str]:
+    """Header lines of reads on the contigs of a dictionary, which is a short list."""
+    rows = contigs.select("contig_name", "contig_length").orderBy("contig_id").collect()
+    return ["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:{r.contig_name}\tLN:{r.contig_length}" for r in rows]]
+
+
 def allele_count_lines(snv: DataFrame, indel: DataFrame) -> DataFrame:
-    """(block, idx, line): SNV rows, then INDEL rows, as the text form has them."""
-    a = snv.select(F.lit(0).alias("block"), "idx", F.concat_ws("\t", F.col("idx").cast("string"), F.col("ref_id").cast("string"), F.array_join(F.transform("counts", lambda n: n.cast("string")), ",")).alias("line"))
+    """(block, idx, line): two lines of totals, then SNV rows, then INDEL rows, as the text form
+    has them."""
+    totals = [df.agg(F.count(F.lit(1)).cast("string").alias("line")).select(F.lit(0).alias("block"), F.lit(at).cast("bigint").alias("idx"), "line") for at, df in enumerate((snv, indel))]
+    a = snv.select(F.lit(1).alias("block"), "idx", F.concat_ws("\t", F.col("idx").cast("string"), F.col("ref_id").cast("string"), F.array_join(F.transform("counts", lambda n: n.cast("string")), ",")).alias("line"))
     pairs = F.array_join(F.transform("alleles", lambda x: F.concat(x["count"].cast("string"), F.lit(":"), x["seq"])), ",")
-    b = indel.select(F.lit(1).alias("block"), "idx", F.concat_ws("\t", F.col("idx").cast("string"), pairs).alias("line"))
-    return a.unionByName(b)
+    b = indel.select(F.lit(2).alias("block"), "idx", F.concat_ws("\t", F.col("idx").cast("string"), pairs).alias("line"))
+    return totals[0].unionByName(totals[1]).unionByName(a).unionByName(b)
 
 
 def read_allele_counts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The two tables of a text of ``allele_count_lines`` (two lines of totals before it)."""
-    cut = _lines(spark, path).select(F.split("line", "\t").alias("c")).filter(F.size("c") > 1)
-    snv = cut.filter(F.size("c") == 3).select(F.col("c")[0].cast("bigint").alias("idx"), F.col("c")[1].cast("int").alias("ref_id"), F.transform(F.split(F.col("c")[2], ","), lambda n: n.cast("bigint")).alias("counts"))
+    """The two tables of a text of ``allele_count_lines``. A file may be shorter than its totals
+    say, but not longer, and no INDEL may stand among the SNVs."""
+    cut = _lines(spark, path).select("ord", F.split("line", "\t").alias("c"))
+    width = F.size("c")
+    seen = cut.agg(
+        F.max_by(F.col("c")[0], -F.col("ord")).alias("n_snv"),
+        F.max(F.when(width == 3, F.col("ord"))).alias("last_snv"),
+        F.min(F.when(width == 2, F.col("ord"))).alias("first_indel"),
+        F.count_if(width == 3).alias("snvs"),
+    ).first()
+    if seen.first_indel is not None and seen.last_snv is not None and seen.first_indel < seen.last_snv:
+        raise ValueError("an insertion or deletion stands among single bases")
+    if seen.n_snv is not None and seen.snvs > int(seen.n_snv):
+        raise ValueError("more single bases than the file's first line says")
+    snv = cut.filter(width == 3).select(F.col("c")[0].cast("bigint").alias("idx"), F.col("c")[1].cast("int").alias("ref_id"), F.transform(F.split(F.col("c")[2], ","), lambda n: n.cast("bigint")).alias("counts"))
     pair = lambda x: F.struct(F.split(x, ":")[0].cast("bigint").alias("count"), F.split(x, ":")[1].alias("seq"))
-    indel = cut.filter(F.size("c") == 2).select(F.col("c")[0].cast("bigint").alias("idx"), F.transform(F.split(F.col("c")[1], ","), pair).alias("alleles"))
+    indel = cut.filter(width == 2).select(F.col("c")[0].cast("bigint").alias("idx"), F.transform(F.split(F.col("c")[1], ","), pair).alias("alleles"))
     return snv, indel
 
 

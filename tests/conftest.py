@@ -19,5 +19,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from genoframe.tables import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(session)
     yield session
     session.stop()

@@ -64,6 +64,7 @@ def test_cigar_forms(spark):
     short, full = F.lit("2M3I1M1D2M"), F.lit("MMIIIMDMM")
     assert one(spark, cigar.expand(short), cigar.shrink(full), cigar.reference_length(short), cigar.read_length(short)) == ("MMIIIMDMM", "2M3I1M1D2M", 6, 8)
     assert one(spark, cigar.reference_length(F.lit("*")), cigar.expand(F.lit("*"))) == (0, "")
+    assert one(spark, cigar.op_tuples(F.lit("2M3I1=")), cigar.expand_tuples(cigar.op_tuples(F.lit("2M3I1=")))) == ([(0, 2), (1, 3), (7, 1)], "MMIII=")
     for text, at, want in [("HM", 0, 1), ("M", 0, 0), ("HHM", 1, None), ("MM", 1, 1), ("SSMMM", 3, 3), ("M", 1, None), ("MIIMDMM", 4, 5)]:
         assert one(spark, cigar.unit_of_base(F.lit(text), F.lit(at))) == (want,)
     for allele, ref, want in [("", "", ""), ("G", "G", "M"), ("", "G", "D"), ("GGG", "G", "MII"), ("T", "GG", "MD"), ("C", "CTT", "MDD"), ("CG", "CG", "MM")]:
@@ -203,13 +204,17 @@ def test_allele_count_table_from_text(spark, two_contigs, tmp_path):
     first = variants.first_per_index(classified, "ord")
     snv, indel = variants.snv_table(first), variants.indel_table(first)
     text = [r.line for r in text_formats.allele_count_lines(snv, indel).orderBy("block", "idx").collect()]
-    assert text == ["1110\t3\t0,20,0,80", "11030\t0\t85,5,10,0", "11299\t0\t93,0,7,0", "11041\t70:TCG,5:TG,10:T,15:TCAG", "11181\t85:GCG,10:G,5:GCGCG"]
+    assert text == ["3", "2", "1110\t3\t0,20,0,80", "11030\t0\t85,5,10,0", "11299\t0\t93,0,7,0", "11041\t70:TCG,5:TG,10:T,15:TCAG", "11181\t85:GCG,10:G,5:GCGCG"]
     counters = variants.table_counters(classified, first).first().asDict()
     assert counters == {"n_rows": 14, "n_incomplete": 1, "n_unknown": 3, "n_skipped": 0, "n_first_base": 1, "n_no_info": 1, "n_no_alternative": 1, "n_negative": 1, "n_snv": 3, "n_indel": 2, "n_same_index": 1}
     assert variants.first_per_index(variants.classify(rows, skip_indels=True), "ord").count() == 3
-    (tmp_path / "table.txt").write_text("\n".join(["3", "2", *text]) + "\n")
+    (tmp_path / "table.txt").write_text("\n".join(text) + "\n")
     again = text_formats.read_allele_counts(spark, str(tmp_path / "table.txt"))
     assert sorted(map(str, again[0].collect())) == sorted(map(str, snv.collect())) and sorted(map(str, again[1].collect())) == sorted(map(str, indel.collect()))
+    for wrong in ([*text[:2], text[-1], *text[2:-1]], ["2", *text[1:]]):
+        (tmp_path / "wrong.txt").write_text("\n".join(wrong) + "\n")
+        with pytest.raises(ValueError):
+            text_formats.read_allele_counts(spark, str(tmp_path / "wrong.txt"))
     assert variants.same_index(variants.as_variants(snv, indel)).count() == 0
 
 
@@ -327,6 +332,19 @@ def test_histogram_edges(spark):
     assert {r.bin: r.n for r in position_sets.histogram(df, F.col("v"), ["kind"]).collect()} == {0: 1, 1: 1, 3: 1, 7: 1, 9: 2}
 
 
+def test_cohort_fills_what_is_missing(spark):
+    rows = [("x", "b", "0/1"), ("x", "b", "0/0"), ("y", "a", "1/1"), ("y", None, "1/1")]
+    got = genotype_matrix.cohort(spark.createDataFrame(rows, "site_id string, sample_id string, gt string"))
+    assert {r.site_id: r.genotypes for r in got.collect()} == {"x": ["0/0", "0/1"], "y": ["1/1", "0/0"]}
+
+
+def test_read_keys_are_sha_512_of_secret_and_name(spark):
+    import hashlib
+
+    key = one(spark, bases.read_key(F.lit(b"\xff" * 16), F.lit("q1")))[0]
+    assert bytes(key) == hashlib.sha512(b"\xff" * 16 + b"q1").digest() and len(key) == 64
+
+
 def test_components_and_pairs(spark):
     rows = [(f"s{i}", name, (i * k) % 3) for i in range(12) for k, name in ((1, "a"), (2, "b"), (1, "a_masked"))]
     points = genotype_matrix.principal_components(spark.createDataFrame(rows, "site_id string, sample_id string, dosage int"), 2)
@@ -340,6 +358,7 @@ def test_sam_round_trip(spark, tmp_path):
     rows = text_formats.read_sam(spark, str(tmp_path / "in.sam"))
     assert [r.line for r in text_formats.sam_lines(rows).orderBy("ord").collect()] == text.splitlines()[3:]
     known = contigs.cumulative_starts(text_formats.read_sam_contigs(spark, str(tmp_path / "in.sam")))
+    assert text_formats.sam_header(known)[1:] == ["@SQ\tSN:chr1\tLN:100", "@SQ\tSN:chr2\tLN:50"]
     assert [(r.contig_name, r.start_idx) for r in known.orderBy("contig_id").collect()] == [("chr1", 0), ("chr2", 100)]
 
 
