@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: Bytes up to which a side is broadcast, by its values and ``ROW_BYTES`` for each row; hashed
 #: in an executor it takes some times as much.
@@ -24,6 +24,8 @@ def _bytes(df: DataFrame) -> Column:
     """How many bytes a row's values take; elements of arrays count as their texts or as 8."""
 
     def one(value: Column, kind) -> Column:
+        if isinstance(kind, StructType):
+            return sum((F.coalesce(one(value[f.name], f.dataType), F.lit(0)) for f in kind), F.lit(0))
         if isinstance(kind, (StringType, BinaryType)):
             return F.octet_length(value)
         if isinstance(kind, ArrayType):
@@ -54,6 +56,19 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     return salted.alias("big").join(spread.alias("small"), _on([*keys, "_salt"]), how).select(*picked)
 
 
+def rows_once(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key of a table in which few rows are repeated.
+
+    Keys alone are shuffled to find the repeated ones; if these are few, only their rows are
+    shuffled too, and all others stay where they lie. Else all rows are."""
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    if not fits_broadcast(repeated):
+        return df.dropDuplicates([key])
+    marked = repeated.withColumn("_again", F.lit(True))
+    flagged = df.alias("big").join(F.broadcast(marked).alias("small"), _on([key]), "left").select("big.*", "_again")
+    return flagged.filter("_again is null").drop("_again").unionByName(flagged.filter("_again").drop("_again").dropDuplicates([key]))
+
+
 def person_keys(df: DataFrame) -> list[str]:
     """What tells results apart: the index, and the person's sample where it is known. A
     null sample is a group of its own, so joins on these keys are null-safe."""

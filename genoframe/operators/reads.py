@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from genoframe.functions.cigar import reference_length
 from genoframe.functions.names import contig_key
 from genoframe.operators.contigs import dictionary, with_index
+from genoframe.operators.joins import rows_once
 
 #: Spellings of contigs up to which a range is pushed down by name.
 MAX_SPELLINGS = 1000
@@ -17,12 +18,12 @@ def place_reads(alignments: DataFrame, contigs: DataFrame, once: bool = True) ->
     """Each read with ``mapped`` and its first and last index (``start_idx``, ``end_idx``,
     null unless mapped).
 
-    Repeated rows collapse on ``ord``, the place in the file; with ``once`` false they stay,
-    and reads aren't shuffled, for operators that collapse what they make of them. A read is
+    Repeated rows collapse on ``ord``, the place in the file, without a shuffle of the others;
+    with ``once`` false they stay, for operators that collapse what they make of them. A read is
     mapped if its flag says so and its contig is known; unplaced and unknown ones are kept as
     unmapped."""
     rows = alignments.select("ord", "qname", "flag", "reference_name", "pos", "cigar", "seq", "qual", "sample_id")
-    rows = rows.dropDuplicates(["ord"]) if once else rows
+    rows = rows_once(rows, "ord") if once else rows
     placed = with_index(rows, contigs, "reference_name", "pos", "left")
     mapped = (F.col("flag").bitwiseAND(4) == 0) & F.col("idx").isNotNull() & (F.col("pos") > 0)
     return (

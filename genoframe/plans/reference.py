@@ -43,8 +43,12 @@ def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def contig_starts(spark: SparkSession, sf: str) -> DataFrame:
-    """Cumulative starts of the dictionary, worked out again from the lengths."""
-    return dictionary.cumulative_starts(_contigs(spark, sf).select("contig_id", "contig_name", "contig_length"))
+    """Starts of the contigs that hold listed sites, worked out again from the dictionary's
+    lengths, and the indices that the sites get by them."""
+    starts = dictionary.cumulative_starts(_contigs(spark, sf).select("contig_id", "contig_name", "contig_length"))
+    sites = dictionary.with_index(_sites(spark, sf).select("rec_id", "vcf_chrom", "vcf_pos"), starts, "vcf_chrom", "vcf_pos")
+    span = sites.groupBy("contig_name").agg(F.count(F.lit(1)).alias("n_sites"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+    return span.join(F.broadcast(starts.select("contig_name", "start_idx")), "contig_name").select("contig_name", "start_idx", "n_sites", "first_idx", "last_idx")
 
 
 def site_indices(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,15 +191,15 @@ def overlap_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return differences.overlap_clusters(spans)
 
 
-def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Masks, cells of masked variants, and the variants."""
+def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Masks, cells of masked variants, the variants, and the cells of all of them."""
     cells, snv = _snv_cells(spark, sf)
     # Cells are counted, masked and looked up again; the interval join runs once.
     ensure_checkpoint_dir(spark)
     cells = cells.checkpoint()
     calls = pileup.call_genotypes(pileup.base_counts(cells)).join(snv.select("idx", "ref_id", F.col("counts").alias("public")), "idx")
     masks = masking.masks(masking.draw_public(calls, SEED))
-    return masks, masking.mask_cells(cells, masks, SEED), snv
+    return masks, masking.mask_cells(cells, masks, SEED), snv, cells
 
 
 def genotype_masks(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,9 +240,9 @@ def difference_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of each person's masking run over single-base variants."""
-    placed, (_, cells, snv) = _reads(spark, sf), _masked(spark, sf)
-    covering = covering_pairs(placed.select("ord", "sample_id", "start_idx", "end_idx"), snv.select("idx")).select("ord", "sample_id").distinct()
-    return masking.run_counters(placed, covering, snv, cells)
+    _, masked, snv, cells = _masked(spark, sf)
+    # Every read over a variant has a cell there, shown base or not.
+    return masking.run_counters(_reads(spark, sf), cells.select("ord", "sample_id").distinct(), snv, masked)
 
 
 def _changes(cells: DataFrame, old: str, new: str) -> DataFrame:
@@ -256,7 +260,7 @@ def masked_reads(spark: SparkSession, sf: str) -> DataFrame:
 def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Masked reads restored from difference records and second-mask rows: the originals, and
     whether masking had changed the read."""
-    placed, (_, cells, _) = _reads(spark, sf).withColumn("_original", F.col("seq")), _masked(spark, sf)
+    placed, (_, cells, _, _) = _reads(spark, sf).withColumn("_original", F.col("seq")), _masked(spark, sf)
     given = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
     # The masked reads and their records are written tables for whoever restores them.
     given = given.withColumn("was_masked", F.col("seq") != F.col("_original")).drop("_original").checkpoint()
@@ -445,7 +449,7 @@ def _genotypes(cells: DataFrame, snv: DataFrame, base: str) -> DataFrame:
 
 def _called_twice(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Genotypes called before and after masking, and the variants."""
-    _, cells, snv = _masked(spark, sf)
+    _, cells, snv, _ = _masked(spark, sf)
     return _genotypes(cells, snv, "allele"), _genotypes(cells, snv, "masked"), snv
 
 

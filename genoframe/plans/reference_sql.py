@@ -164,6 +164,30 @@ _BIJECTION = """, ibij as (
 """
 
 
+# The prelude over known and random variants that are left when none may begin within the last
+# kept one's reference, with indels told only where no other one follows.
+_RUN = (
+    _PRELUDE.replace("usable as (", "usable_known as (", 1)
+    .replace(
+        "snvs as (\n",
+        f"""extent as (select min(cs) as a, max(cs + contig_length) - 1 as b from ctg),
+random_idx as (select distinct cast(floor(cast('0x' || substr(md5(concat('{SEED}:random:', i)), 1, 8) as bigint) / 4294967296.0 * (b - a)) as bigint) + a as idx from extent, range(0, cast(floor({RANDOM_SHARE} * (b - a)) as bigint)) r(i)),
+merged as (
+  select idx, ref, al, counts, status from usable_known
+  union all select idx, 'A', ['A', 'T', 'G', 'C'], [3::bigint, 3, 2, 2], 'snv' from random_idx where idx not in (select idx from usable_known)),
+spans as (select c.contig_name, m.idx, cast(length(m.ref) as bigint) as length from merged m join ctg c on m.idx >= c.cs and m.idx < c.cs + c.contig_length),
+span_lists as (select contig_name, list(struct_pack(s := idx, free := idx + length, kept := [idx]) order by idx) as l from spans group by contig_name),
+kept as (
+  select unnest(list_reduce(l, lambda acc, x: case when x.s >= acc.free then struct_pack(s := x.s, free := x.free, kept := list_concat(acc.kept, x.kept)) else acc end).kept) as idx from span_lists),
+usable as (select * from merged where idx in (select idx from kept)),
+snvs as (
+""",
+        1,
+    )
+    .replace("then e[1] end as allele from icover", "and substr(units, unit + greatest(length(e[1]), length(ra)) + 1, 1) not in ('I', 'D') then e[1] end as allele from icover", 1)
+)
+
+
 def _genotyped(cells: str, base: str) -> str:
     """Genotypes called from a column of cells, with the share of bases unlike the reference."""
     counts = ", ".join(f"count(*) filter ({base} = '{b}') as n_{b.lower()}" for b in "ATGC")
@@ -178,7 +202,8 @@ _TWICE = f", personal as ({_genotyped('mcell', 'allele')}), masked_again as ({_g
 ORACLE = {
     name: _PRELUDE + sql
     for name, sql in {
-        "contig_starts": "select contig_id, contig_name, contig_length, cast(coalesce(sum(contig_length) over (order by contig_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start_idx from ctg",
+        "contig_starts": """, starts as (select contig_name, cast(coalesce(sum(contig_length) over (order by contig_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start_idx from ctg)
+select t.contig_name, any_value(t.start_idx) as start_idx, count(*) as n_sites, min(t.start_idx + s.vcf_pos - 1) as first_idx, max(t.start_idx + s.vcf_pos - 1) as last_idx from site s join starts t on s.contig_name = t.contig_name group by 1""",
         "site_indices": "select rec_id, contig_name, vcf_pos, idx from site",
         "index_positions": "select s.rec_id, s.idx, c.contig_name, s.idx - c.cs + 1 as ref_pos from site s join ctg c on s.idx >= c.cs and s.idx < c.cs + c.contig_length",
         "scan_mapped": _SCAN + "mapped",
@@ -299,3 +324,16 @@ from ({_ONE_CALL.format("personal")}) a join ({_ONE_CALL.format("masked")}) b on
 from (select *, unnest(alleles) as a, generate_subscripts(alleles, 1) as i from calls) where regexp_full_match(a, '[ATGC]') and gt is not null and sample_id is not null group by 1, 2""",
     }.items()
 }
+
+ORACLE["mask_run_records"] = (
+    _RUN
+    + _BIJECTION
+    + """, isite as (select sample_id, idx, list(image order by allele) as m from ibij where turn > 0 group by 1, 2),
+ichanged as (
+  select distinct c.sample_id, c.idx, c.ra from icell c join ibij b on c.idx = b.idx and c.sample_id is not distinct from b.sample_id and c.allele = b.allele where b.turn > 0 and b.image <> b.allele),
+second as (select sample_id, idx, string_agg(ord, ',' order by ord) as reads from mcell where use_b group by 1, 2)
+select d.sample_id, d.idx, concat_ws(chr(9), d.idx, 1, ref_id, zygosity, array_to_string(string_split(perm_a, ''), ','), case when zygosity in (1, 3) then array_to_string(string_split(perm_b, ''), ',') end,
+  case when zygosity in (1, 3) then coalesce(reads, '') end) as line from diff d left join second b on d.idx = b.idx and d.sample_id is not distinct from b.sample_id
+union all select c.sample_id, c.idx, concat_ws(chr(9), c.idx, 0, list_position(m, ra) - 1, 0, array_to_string(m, ','))
+from ichanged c join isite s on c.idx = s.idx and c.sample_id is not distinct from s.sample_id"""
+)

@@ -6,6 +6,8 @@ from oracle import DATA, connect, difference
 
 PARTS = [p for p in entry._PARTS if ".llm" not in p.__name__]
 NAMES = sorted(n for p in PARTS for n in p.ORACLE)
+#: Positions of called kinds seldom coincide in the tables: at 0.001 and 0.01 these give no row.
+EMPTY = {"altered_calls", "personal_population_calls"}
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,13 @@ def test_matches_sql(spark, con, name):
     assert not difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], f"{DATA}/sf0.001")
 
 
+def test_twins_have_rows_to_compare():
+    larger = connect(f"{DATA}/sf0.01")
+    sql = entry.oracle_sql()
+    counts = {n: larger.execute(f"select count(*) from ({sql[n]})").fetchone()[0] for n in NAMES}
+    assert {n for n, k in counts.items() if not k} == EMPTY
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
