@@ -16,6 +16,7 @@ from genoframe.functions.bases import BASES, permute_base, swap_permutation
 from genoframe.functions.cigar import expand, place_allele, shrink
 from genoframe.functions.draws import uniform, weighted_index
 from genoframe.operators.joins import fits_broadcast, join_null_safe, person_keys, side_by_side
+from genoframe.tables import ensure_checkpoint_dir
 
 # What a mask does to the genotype.
 HOMO_TO_HOMO, HOMO_TO_HETERO, HETERO_TO_HETERO, HETERO_TO_HOMO = range(4)
@@ -121,7 +122,8 @@ def rewrite_reads(reads: DataFrame, changes: DataFrame) -> DataFrame:
     its end, so that earlier places stay valid. A read covers few variants, and they don't
     overlap."""
     cell = F.struct("seq_pos", "unit", "old", "new", "ref_allele")
-    listed = changes.filter("old <> new").groupBy("ord").agg(F.sort_array(F.collect_list(cell), asc=False).alias("_cells"))
+    ensure_checkpoint_dir(reads.sparkSession)
+    listed = changes.filter("old <> new").groupBy("ord").agg(F.sort_array(F.collect_list(cell), asc=False).alias("_cells")).checkpoint()
     # Few reads cover a variant that changes them; where these are few, the others stay in place.
     joined = reads.join(F.broadcast(listed) if fits_broadcast(listed) else listed, "ord", "left")
     state = F.struct(F.col("seq"), expand(F.col("cigar")).alias("expanded"), F.col("qual"))

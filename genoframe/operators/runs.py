@@ -67,10 +67,11 @@ def mask_reads(placed: DataFrame, kept: DataFrame, seed: int, secret: bytes) ->
     snv, indel = cells.filter("is_snv"), cells.filter("not is_snv")
     public = kept.filter("is_snv").select("idx", base_code(F.col("ref_allele")).cast("int").alias("ref_id"), F.col("counts").alias("public"))
     calls = pileup.call_genotypes(pileup.base_counts(snv)).join(public, "idx")
-    masked = masking.mask_cells(snv, masking.masks(masking.draw_public(calls, seed)), seed)
+    # Few rows, from which changes, records and second masks all come.
+    masked = masking.mask_cells(snv, masking.masks(masking.draw_public(calls, seed)), seed).checkpoint()
     maps = masking.indel_masks(indel, kept.filter("not is_snv"), seed)
     keys = person_keys(cells)
-    turned = join_null_safe(indel.filter("allele is not null"), maps, keys).withColumn("masked", F.element_at("mask", F.col("allele")))
+    turned = join_null_safe(indel.filter("allele is not null"), maps, keys).withColumn("masked", F.element_at("mask", F.col("allele"))).checkpoint()
     put = ("ord", "seq_pos", "unit", F.col("allele").alias("old"), F.col("masked").alias("new"), "ref_allele")
     changes = masked.filter("allele is not null").select(*put).unionByName(turned.select(*put))
     rewritten = masking.rewrite_reads(placed, changes).withColumn("seq", _ciphered(secret))

@@ -191,56 +191,62 @@ def overlap_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return differences.overlap_clusters(spans)
 
 
-def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Masks, cells of masked variants, the variants, and the cells of all of them."""
+def _masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Masks, the variants, and all their cells."""
     cells, snv = _snv_cells(spark, sf)
     # Cells are counted, masked and looked up again; the interval join runs once.
     ensure_checkpoint_dir(spark)
     cells = cells.checkpoint()
     calls = pileup.call_genotypes(pileup.base_counts(cells)).join(snv.select("idx", "ref_id", F.col("counts").alias("public")), "idx")
-    masks = masking.masks(masking.draw_public(calls, SEED))
-    return masks, masking.mask_cells(cells, masks, SEED), snv, cells
+    return masking.masks(masking.draw_public(calls, SEED)), snv, cells
+
+
+def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells of masked variants, the variants, and all their cells."""
+    masks, snv, cells = _masks(spark, sf)
+    # Records, second masks and changed reads all come from these few rows.
+    return masking.mask_cells(cells, masks, SEED).checkpoint(), snv, cells
 
 
 def genotype_masks(spark: SparkSession, sf: str) -> DataFrame:
     """The mask drawn for each called variant of a person."""
-    return _masked(spark, sf)[0].select("sample_id", "idx", "allele_a", "allele_b", "to_a", "to_b", "zygosity", "perm_a", "perm_b")
+    return _masks(spark, sf)[0].select("sample_id", "idx", "allele_a", "allele_b", "to_a", "to_b", "zygosity", "perm_a", "perm_b")
 
 
 def zygosity_changes(spark: SparkSession, sf: str) -> DataFrame:
     """How many of a person's masks change the genotype in which way."""
-    return _masked(spark, sf)[0].groupBy("sample_id", "zygosity").agg(F.count(F.lit(1)).alias("n"))
+    return _masks(spark, sf)[0].groupBy("sample_id", "zygosity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def masked_cells(spark: SparkSession, sf: str) -> DataFrame:
     """What masking makes of each base, and by which of two masks."""
-    return _masked(spark, sf)[1].select("ord", "idx", "allele", "use_b", "masked")
+    return _masked(spark, sf)[0].select("ord", "idx", "allele", "use_b", "masked")
 
 
 def difference_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records that undo the masking, for variants at which a read was changed."""
-    return masking.difference_table(_masked(spark, sf)[1])
+    return masking.difference_table(_masked(spark, sf)[0])
 
 
 def mask_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Difference records with their masks as bytes, and read back from them."""
-    rows = masking.difference_table(_masked(spark, sf)[1]).withColumn("code_a", bases.permutation_code(F.col("perm_a")))
+    rows = masking.difference_table(_masked(spark, sf)[0]).withColumn("code_a", bases.permutation_code(F.col("perm_a")))
     return rows.select("sample_id", "idx", "code_a", bases.code_permutation(F.col("code_a")).alias("perm_a"))
 
 
 def difference_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Difference records of a range, given by names, alone."""
-    return differences.slice_range(masking.difference_table(_masked(spark, sf)[1]), *_named(spark, sf, RECORD_RANGE))
+    return differences.slice_range(masking.difference_table(_masked(spark, sf)[0]), *_named(spark, sf, RECORD_RANGE))
 
 
 def difference_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Each person's first and last record, and the nearest ones to an index."""
-    return differences.bounds(masking.difference_table(_masked(spark, sf)[1]), _named(spark, sf, RECORD_RANGE)[1])
+    return differences.bounds(masking.difference_table(_masked(spark, sf)[0]), _named(spark, sf, RECORD_RANGE)[1])
 
 
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of each person's masking run over single-base variants."""
-    _, masked, snv, cells = _masked(spark, sf)
+    masked, snv, cells = _masked(spark, sf)
     # Every read over a variant has a cell there, shown base or not.
     return masking.run_counters(_reads(spark, sf), cells.select("ord", "sample_id").distinct(), snv, masked)
 
@@ -254,13 +260,13 @@ _READ = ("ord", "seq", "cigar", "qual")
 
 def masked_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Reads with the masked bases put in."""
-    return masking.rewrite_reads(_reads(spark, sf), _changes(_masked(spark, sf)[1], "allele", "masked")).select(*_READ)
+    return masking.rewrite_reads(_reads(spark, sf), _changes(_masked(spark, sf)[0], "allele", "masked")).select(*_READ)
 
 
 def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Masked reads restored from difference records and second-mask rows: the originals, and
     whether masking had changed the read."""
-    placed, (_, cells, _, _) = _reads(spark, sf).withColumn("_original", F.col("seq")), _masked(spark, sf)
+    placed, (cells, _, _) = _reads(spark, sf).withColumn("_original", F.col("seq")), _masked(spark, sf)
     given = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
     # The masked reads and their records are written tables for whoever restores them.
     given = given.withColumn("was_masked", F.col("seq") != F.col("_original")).drop("_original").checkpoint()
@@ -449,7 +455,7 @@ def _genotypes(cells: DataFrame, snv: DataFrame, base: str) -> DataFrame:
 
 def _called_twice(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Genotypes called before and after masking, and the variants."""
-    _, cells, snv, _ = _masked(spark, sf)
+    cells, snv, _ = _masked(spark, sf)
     return _genotypes(cells, snv, "allele"), _genotypes(cells, snv, "masked"), snv
 
 
