@@ -36,7 +36,7 @@ from genoframe.tables import ensure_checkpoint_dir
 
 # Lengths whose prefixes are hashed, in characters.
 _GRID = [64 << k for k in range(25)]
-_BLANK, _BREAKS = r"[ \t\r\n\f]", ("\n", "\r")
+_BLANKS_CUT, _BREAKS = " \t\r\n\f", ("\n", "\r")
 #: How a longer text goes on after a prefix of it: blanks only, after a line's end, within it.
 BLANKS, LINE_END, MID_LINE = 0, 1, 2
 
@@ -209,12 +209,12 @@ def cut_reason(text: str | None) -> str | None:
 
 def _solid(text: Column) -> Column:
     """Characters of a text less its closing blanks."""
-    return F.length(F.regexp_replace(text, f"{_BLANK}+$", ""))
+    return F.length(F.rtrim(text, F.lit(_BLANKS_CUT)))
 
 
-def _heads(text: Column) -> Column:
-    """Hashes of the prefixes of all lengths of the grid that the text reaches."""
-    grid = F.filter(F.array(*[F.lit(g) for g in _GRID]), lambda g: g <= F.length(text))
+def _heads(text: Column, n: Column) -> Column:
+    """Hashes of the prefixes of all lengths of the grid that the text of ``n`` characters reaches."""
+    grid = F.filter(F.array(*[F.lit(g) for g in _GRID]), lambda g: g <= n)
     return F.transform(grid, lambda g: F.xxhash64(F.call_function("left", text, g)))
 
 
@@ -265,9 +265,9 @@ def _digest(text: Column) -> Column:
 
 def _profile(docs: DataFrame, judge: bool) -> DataFrame:
     """One pass over the texts: what the self-join needs of each, and what its end says."""
-    solid = docs.select("doc_id", "source", "text", _solid(F.col("text")).alias("solid")).filter("solid > 0")
+    solid = docs.select("doc_id", "source", "text", _solid(F.col("text")).alias("solid"), F.length("text").alias("n")).filter("solid > 0")
     first = F.call_function("left", F.col("text"), F.lit(_GRID[0]))
-    rows = solid.select("doc_id", "source", "solid", _digest(F.col("text")).alias("digest"), F.length("text").alias("n"), first.alias("first"), _heads(F.col("text")).alias("heads"), "text")
+    rows = solid.select("doc_id", "source", "solid", _digest(F.col("text")).alias("digest"), "n", first.alias("first"), _heads(F.col("text"), F.col("n")).alias("heads"), "text")
     ensure_checkpoint_dir(docs.sparkSession)
     if not judge:
         return rows.drop("text").checkpoint()
