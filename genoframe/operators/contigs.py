@@ -100,3 +100,27 @@ def narrow_range(wanted: tuple[int, int] | None, given: tuple[int, int]) -> tupl
 
 def within(idx: Column, bounds: tuple[int, int]) -> Column:
     return idx.between(*bounds)
+
+
+def contig_id(contigs: DataFrame, name: str) -> int:
+    """The number of a contig, in any spelling; an unknown one raises."""
+    row = dictionary(contigs).filter(F.col("contig_key") == contig_key(F.lit(name))).first()
+    if row is None:
+        raise ValueError(f"unknown contig: {name}")
+    return row.contig_id
+
+
+def contig_name(contigs: DataFrame, number: int) -> str:
+    """The name of a contig's number; an unknown one raises."""
+    row = dictionary(contigs).filter(F.col("contig_id") == number).first()
+    if row is None:
+        raise ValueError(f"unknown contig: {number}")
+    return row.contig_name
+
+
+def resolve_position(contigs: DataFrame, idx: int) -> tuple[str, int]:
+    """Contig and 1-based position of an index; one past the end raises."""
+    row = dictionary(contigs).filter((F.col("start_idx") <= idx) & (F.col("start_idx") + F.col("contig_length") > idx)).first()
+    if row is None:
+        raise ValueError(f"no contig holds index {idx}")
+    return row.contig_name, idx - row.start_idx + 1

@@ -28,6 +28,14 @@ def bounds(records: DataFrame, pivot: int) -> DataFrame:
     )
 
 
+def range_within(records: DataFrame, first: int, last: int) -> tuple[int, int]:
+    """First and last index of the records in first..last; none there raises."""
+    row = slice_range(records, first, last).agg(F.min("idx").alias("a"), F.max("idx").alias("b")).first()
+    if row.a is None:
+        raise IndexError(f"no record from {first} to {last}")
+    return row.a, row.b
+
+
 def key_sorted_images(mask: str = "mask"):
     """Images of a map in ascending order of their keys."""
     return F.transform(F.array_sort(F.map_keys(mask)), lambda k: F.element_at(mask, k))

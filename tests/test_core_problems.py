@@ -141,3 +141,32 @@ def test_key_summary_against_brute_force(spark, monkeypatch, slices):
         want.add((g, len(part), len(set(part)), values[0] if values else None, values[-1] if values else None, middle))
     assert {tuple(r) for r in key_summary(df, F.col("g"), "key", 1000).collect()} == want
     assert key_summary(df.limit(0), F.col("g"), "key", 1000).count() == 0
+
+
+def test_rows_once(spark, monkeypatch):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (3, None)]
+    df = spark.createDataFrame(rows, "k bigint, x string")
+    assert sorted(map(tuple, joins.rows_once(df, "k").collect()), key=str) == sorted(set(rows), key=str)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda small: False)
+    assert sorted(map(tuple, joins.rows_once(df, "k").collect()), key=str) == sorted(set(rows), key=str)
+    assert joins.rows_once(df.limit(0), "k").count() == 0
+
+
+def test_bytes_of_a_side(spark):
+    df = spark.createDataFrame([("ab", [1, 2], [("x",)]), (None, None, None)], "s string, a array<bigint>, t array<struct<n:string>>")
+    assert joins.fits_broadcast(df, 2 + 16 + 1 + 2 * joins.ROW_BYTES) and not joins.fits_broadcast(df, 2 + 16 + 2 * joins.ROW_BYTES)
+    assert joins.fits_broadcast(df.limit(0), 0)
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from genoframe.tables import ensure_checkpoint_dir
+
+    made = []
+    session = lambda master, named: SimpleNamespace(conf={"spark.checkpoint.dir": named} if named else {}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append))
+    assert ensure_checkpoint_dir(session("spark://x:7077", "/shared")) == "/shared" and made == ["/shared"]
+    assert ensure_checkpoint_dir(session("local[4]", None)) == made[-1]
+    for master in ("spark://x:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            ensure_checkpoint_dir(session(master, None))

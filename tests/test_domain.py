@@ -133,6 +133,11 @@ def test_ranges(two_contigs):
     assert contigs.parse_range("chr1:5:chr2:9") == ("chr1", 5, "chr2", 9)
     assert contigs.resolve_range(two_contigs, None, None, None, None) == (0, 19_999)
     assert contigs.resolve_range(two_contigs, "chr1", 5, "chr1", None) == (4, 9_999)
+    assert (contigs.contig_id(two_contigs, "CHR2"), contigs.contig_name(two_contigs, 0)) == (1, "chr1")
+    assert contigs.resolve_position(two_contigs, 10_000) == ("chr2", 1) and contigs.resolve_position(two_contigs, 9_999) == ("chr1", 10_000)
+    for lookup, bad in ((contigs.contig_id, "chr9"), (contigs.contig_name, 7), (contigs.resolve_position, 20_000)):
+        with pytest.raises(ValueError):
+            lookup(two_contigs, bad)
     for bad in [("chr9", None, None, None), (None, 4, None, None), ("chr2", 5, "chr1", 5)]:
         with pytest.raises(ValueError):
             contigs.resolve_range(two_contigs, *bad)
@@ -161,6 +166,24 @@ def test_scans(spark, two_contigs):
         reads.scan_reads(placed, 5, 4)
 
 
+def test_scans_of_a_table_push_ranges_down(spark, two_contigs, tmp_path, monkeypatch):
+    """The same reads as a scan of placed ones, with names and positions in the scan's filters."""
+    rng = random.Random(3)
+    rows = [(i, f"q{i}", rng.choice([2, 2, 2, 4]), rng.choice(["chr1", "CHR1", "1", "chr2", "2", None, "*", "x"]), rng.choice([0, None, *range(1, 200)]), rng.choice(["10M", "5M5D5M", "4M90N4M"]), "A" * 10, "*", "s") for i in range(400)]
+    spark.createDataFrame([*rows, *rows[:30]], READ).write.parquet(str(tmp_path / "reads"))
+    table = spark.read.parquet(str(tmp_path / "reads"))
+    placed = reads.place_reads(table, two_contigs)
+    modes = [{}, {"start": 50, "end": 120}, {"start": 150, "end": 10_060, "end_inclusive": True}, {"end": 10_020}, {"start": 10_010}, {"start": 50, "end": 120, "include_unmapped": True}, {"unmapped_only": True}]
+    for most in (1000, 0):
+        monkeypatch.setattr(reads, "MAX_SPELLINGS", most)
+        for mode in modes:
+            got = sorted(r.ord for r in reads.scan_alignments(table, two_contigs, **mode).collect())
+            assert got == sorted(r.ord for r in reads.scan_reads(placed, **mode).collect()), mode
+    monkeypatch.setattr(reads, "MAX_SPELLINGS", 1000)
+    plan = reads.scan_alignments(table, two_contigs, 50, 120)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(pos,121)" in plan and "In(reference_name, [1,CHR1,chr1])" in plan
+
+
 @pytest.mark.parametrize("width", [1, 7, 256])
 def test_interval_join_against_brute_force(spark, monkeypatch, width):
     monkeypatch.setattr(interval_join, "MAX_BINS", 5)
@@ -295,6 +318,9 @@ def test_masked_reads_are_restored(spark, two_contigs):
     bounds = differences.bounds(records, 7).first()
     assert bounds.first_idx == 5 and bounds.at_or_before <= 7 <= bounds.at_or_after
     assert differences.slice_range(records, 5, 6).count() == 2
+    assert differences.range_within(records, 0, 6) == (5, 6)
+    with pytest.raises(IndexError):
+        differences.range_within(records, 0, 4)
     maps = differences.involution_maps(records).first()
     assert maps.map_a["C"] == maps.perm_a[3]
 
