@@ -291,10 +291,9 @@ def test_all_masks_are_their_own_inverse_and_turn_genotypes(spark):
             assert a[r.allele_a] == c[r.allele_b] == r.to_a
 
 
-# Made for this test: ten reads over ten variants.
-SAM = [
-    ("CCCCAATATCAATC", 3), ("CCCCTAAAACTAAC", 3), ("CCCGAAAACGAAC", 4), ("CCCAAAACCAAC", 5), ("CCCAAAACCAAC", 5), ("CCCCGCGCCCGC", 5), ("CCCCCCCCCCCC", 6), ("CCCCCCCCCCCCC", 6), ("CCCCCCCCCCCCC", 6), ("CCCCCCCCCCCCCC", 6),
-]
+# Ten reads given by what they show at indices 3 to 14; they begin at three places.
+SHOWN = ["GGGGGGGGGG", "ATATATATAT", "CCCCCCCCCC", "CCCCCCCCCC", "AAAAACCCCC", "ACACACACAC", "TTTTTTTTTT", "TTTTTCCCCC", "GGGGGGGGGG", "AGAGAGAGAG", "CCCCCCCCCC", "GGGGGTTTTT"]
+SAM = [("".join(column[i] for column in SHOWN)[i % 3 :], 4 + i % 3) for i in range(10)]
 
 
 def test_masked_reads_are_restored(spark, two_contigs):
