@@ -46,6 +46,8 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     ``small`` is measured first. Up to ``limit`` bytes it is broadcast; beyond, ``big`` is
     salted and ``small`` repeated per salt, so that a key holding a third of ``big`` is
     spread over ``SALTS`` tasks. Columns of ``small`` beside the keys must not be in ``big``.
+    The planner would guess the repeated side from its files, without its repeats, and might
+    gather it on the driver after all; a merge join is asked for by name.
     """
     rest = [c for c in small.columns if c not in keys]
     picked = [F.col(f"big.{c}") for c in big.columns] + ([] if how in ("left_semi", "left_anti") else [F.col(f"small.{c}") for c in rest])
@@ -53,7 +55,7 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
         return big.alias("big").join(F.broadcast(small).alias("small"), _on(keys), how).select(*picked)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.alias("big").join(spread.alias("small"), _on([*keys, "_salt"]), how).select(*picked)
+    return salted.alias("big").join(spread.hint("merge").alias("small"), _on([*keys, "_salt"]), how).select(*picked)
 
 
 def rows_once(df: DataFrame, key: str) -> DataFrame:
