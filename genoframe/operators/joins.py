@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
+from genoframe.tables import ensure_checkpoint_dir
+
 #: Bytes up to which a side is broadcast, by its values and ``ROW_BYTES`` for each row; hashed
 #: in an executor it takes some times as much.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 16
-#: Parts into which a key is cut where the small side is beyond that; what is still uneven
-#: then is left to adaptive execution, which splits large partitions.
-SALTS = 16
+#: Where the small side is beyond that: parts into which a key of the large side is cut, the rows
+#: from which on it is, and how many keys at most, the heaviest. What is still uneven then is left
+#: to adaptive execution, which splits large partitions.
+SALTS, HEAVY_ROWS, HEAVY_KEYS = 16, 10_000, 4096
 
 
 def _on(keys: list[str]) -> Column:
@@ -40,12 +43,21 @@ def fits_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return small.agg(F.coalesce(F.sum(_bytes(small)), F.lit(0))).first()[0] <= limit
 
 
+def _heavy_keys(big: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that hold most rows, if more than ``HEAVY_ROWS``: a short list, marked ``_heavy``."""
+    ensure_checkpoint_dir(big.sparkSession)
+    counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY_ROWS)
+    # Both sides look it up; the rows are counted once.
+    return counted.orderBy(F.desc("_n")).limit(HEAVY_KEYS).select(*keys, F.lit(True).alias("_heavy")).checkpoint()
+
+
 def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Null-safe join that keeps ``big`` where it lies if ``small`` is small.
 
-    ``small`` is measured first. Up to ``limit`` bytes it is broadcast; beyond, ``big`` is
-    salted and ``small`` repeated per salt, so that a key holding a third of ``big`` is
-    spread over ``SALTS`` tasks. Columns of ``small`` beside the keys must not be in ``big``.
+    ``small`` is measured first. Up to ``limit`` bytes it is broadcast; beyond, heavy keys of
+    ``big`` are salted and their rows of ``small`` repeated per salt, so that a key holding a
+    third of ``big`` is spread over ``SALTS`` tasks. Columns of ``small`` beside the keys must
+    not be in ``big``.
     The planner would guess the repeated side from its files, without its repeats, and might
     gather it on the driver after all; a merge join is asked for by name.
     """
@@ -53,8 +65,11 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     picked = [F.col(f"big.{c}") for c in big.columns] + ([] if how in ("left_semi", "left_anti") else [F.col(f"small.{c}") for c in rest])
     if fits_broadcast(small, limit):
         return big.alias("big").join(F.broadcast(small).alias("small"), _on(keys), how).select(*picked)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    heavy = F.broadcast(_heavy_keys(big, keys)).alias("small")
+    marked = [df.alias("big").join(heavy, _on(keys), "left").select("big.*", "_heavy") for df in (big, small)]
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted, spread = marked[0].withColumn("_salt", salt), marked[1].withColumn("_salt", F.explode(salts))
     return salted.alias("big").join(spread.hint("merge").alias("small"), _on([*keys, "_salt"]), how).select(*picked)
 
 

@@ -197,7 +197,9 @@ def _masks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     # Cells are counted, masked and looked up again; the interval join runs once.
     ensure_checkpoint_dir(spark)
     cells = cells.checkpoint()
-    calls = pileup.call_genotypes(pileup.base_counts(cells)).join(snv.select("idx", "ref_id", F.col("counts").alias("public")), "idx")
+    # The planner takes the table for smaller than it is, and would gather it on the driver.
+    public = snv.select("idx", "ref_id", F.col("counts").alias("public")).hint("merge")
+    calls = pileup.call_genotypes(pileup.base_counts(cells)).join(public, "idx")
     return masking.masks(masking.draw_public(calls, SEED)), snv, cells
 
 
@@ -269,7 +271,7 @@ def unmasked_reads(spark: SparkSession, sf: str) -> DataFrame:
     placed, (cells, _, _) = _reads(spark, sf).withColumn("_original", F.col("seq")), _masked(spark, sf)
     given = masking.rewrite_reads(placed, _changes(cells, "allele", "masked"))
     # The masked reads and their records are written tables for whoever restores them.
-    given = given.withColumn("was_masked", F.col("seq") != F.col("_original")).drop("_original").checkpoint()
+    given = given.select(*_READ, "sample_id", "start_idx", "end_idx", (F.col("seq") != F.col("_original")).alias("was_masked")).checkpoint()
     records = masking.difference_table(cells).checkpoint()
     again = pileup.snv_cells(given, records.select("idx").distinct())
     restored = masking.unmask_cells(again, records, masking.second_mask_reads(cells))
@@ -447,7 +449,7 @@ def personal_population_calls(spark: SparkSession, sf: str) -> DataFrame:
 def _genotypes(cells: DataFrame, snv: DataFrame, base: str) -> DataFrame:
     """Genotypes called from one column of cells, with the share of bases unlike the reference."""
     calls = pileup.call_genotypes(pileup.base_counts(cells.withColumn("allele", F.col(base)))).filter("allele_a is not null")
-    joined = calls.join(snv.select("idx", "ref_id"), "idx")
+    joined = calls.join(snv.select("idx", "ref_id").hint("merge"), "idx")
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
     share = 1 - F.get(F.col("counts"), F.col("ref_id")) / total
     return joined.select("sample_id", "idx", F.concat_ws("/", "allele_a", "allele_b").alias("alt"), share.alias("freq"))
